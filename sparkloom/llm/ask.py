@@ -79,13 +79,15 @@ def width(bits: int, buckets: int) -> int:
 
 
 def requests(docs: DataFrame, keys, buckets: int, bits: int = 64) -> DataFrame:
-    """keys(part, chunk number, slices) gives sorted distinct keys under 2**bits and None or an array of as many rows of extra values."""
+    """keys(part, number of the chunk's first row, slices) gives sorted distinct keys under 2**bits and None or an array of as many rows of extra values."""
     step = width(bits, buckets)
 
     def run(batches):
         part = TaskContext.get().partitionId()
+        row = 0
         for number, held in enumerate(chunks(batches)):
-            found, extra = keys(part, number, held)
+            found, extra = keys(part, row, held)
+            row += sum(x.num_rows for x in held)
             edges = np.array([min(i * step, (1 << 64) - 1) for i in range(1, buckets)], np.uint64)
             cuts = np.concatenate(([0], np.searchsorted(found, edges), [len(found)]))
             used = np.flatnonzero(np.diff(cuts))
@@ -161,19 +163,55 @@ def fetch(path: str, part: int) -> dict[int, list[bytes]]:
 
 
 def told(docs: DataFrame, path: str, kind, use, schema: str) -> DataFrame:
-    """use(part, chunk number, slices, values in the order of the chunk's keys) yields record batches."""
+    """use(part, number of the chunk's first row, slices, values in the order of the chunk's keys) yields record batches."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        answers = fetch(path, part)
+        answers, row = fetch(path, part), 0
         for number, held in enumerate(chunks(batches)):
             replies = answers.pop(number, [])
             values = np.concatenate([unpack(x, kind) for x in replies]) if replies else np.zeros(0, kind)
-            yield from use(part, number, held, values)
+            yield from use(part, row, held, values)
+            row += sum(x.num_rows for x in held)
 
     return docs.mapInArrow(run, schema)
 
 
+def row_key(part: int, row: int, n: int) -> np.ndarray:
+    """Keys of n rows of a scan partition: the same in each scan."""
+    return (np.int64(part) << np.int64(32)) + np.arange(row, row + n, dtype=np.int64)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs, which must be steady, without the rows of the keys in dropped's column key."""
+
+    def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = np.sort(table.column("key").to_numpy() & 0xFFFFFFFF).astype(np.uint32)
+        return pa.table({"part": [key[0].as_py()], "chunk": [0], "bucket": [0], "reply": [rows.tobytes()]}, pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("bucket", pa.int32()), ("reply", pa.binary())]))
+
+    place = post(dropped.select("key", F.shiftright("key", 32).cast("int").alias("part")).groupBy("part").applyInArrow(packed, REPLY), "dropped")
+
+    def run(batches):
+        found, row = fetch(place, TaskContext.get().partitionId()), 0
+        gone = np.frombuffer(b"".join(found.get(0, [])), np.uint32)
+        for batch in batches:
+            keep = ~np.isin(np.arange(row, row + batch.num_rows), gone)
+            row += batch.num_rows
+            yield batch if keep.all() else batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def volume(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def digit_bits(size: int, spare: int = 9) -> int:
+    """Bits of a digit that tells apart the items of so many bytes of text, with 2**-spare of them meeting another by chance."""
+    return min(64, max(24, (size // 5 + 1).bit_length() + spare))
+
+
 def seen_twice(keys: np.ndarray, many: np.ndarray | None = None) -> np.ndarray:
     """Whether each key occurs elsewhere in keys too, or many of it says so somewhere."""
     order = np.argsort(keys, kind="stable")
