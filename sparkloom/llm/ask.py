@@ -78,31 +78,34 @@ def width(bits: int, buckets: int) -> int:
     return -(-(1 << bits) // buckets)
 
 
+def request_rows(part: int, number: int, found: np.ndarray, extra: np.ndarray | None, buckets: int, bits: int = 64):
+    """The rows of a chunk's request; chunks of a partition are told apart, and kept in order, by their numbers."""
+    step = width(bits, buckets)
+    edges = np.array([min(i * step, (1 << 64) - 1) for i in range(1, buckets)], np.uint64)
+    cuts = np.concatenate(([0], np.searchsorted(found, edges), [len(found)]))
+    used = np.flatnonzero(np.diff(cuts))
+    rows = [(cuts[b], cuts[b + 1]) for b in used]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(used, pa.int32()),
+            pa.array([part] * len(used), pa.int32()),
+            pa.array([number] * len(used), pa.int32()),
+            pa.array([b - a for a, b in rows], pa.int32()),
+            pa.array([encode(found[a:b]) for a, b in rows], pa.binary()),
+            pa.array([None if extra is None else extra[a:b].tobytes() for a, b in rows], pa.binary()),
+        ],
+        ["bucket", "part", "chunk", "n", "keys", "extra"],
+    )
+
+
 def requests(docs: DataFrame, keys, buckets: int, bits: int = 64) -> DataFrame:
     """keys(part, number of the chunk's first row, slices) gives sorted distinct keys under 2**bits and None or an array of as many rows of extra values."""
-    step = width(bits, buckets)
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-        row = 0
-        for number, held in enumerate(chunks(batches)):
-            found, extra = keys(part, row, held)
+        part, row = TaskContext.get().partitionId(), 0
+        for held in chunks(batches):
+            yield from request_rows(part, row, *keys(part, row, held), buckets, bits)
             row += sum(x.num_rows for x in held)
-            edges = np.array([min(i * step, (1 << 64) - 1) for i in range(1, buckets)], np.uint64)
-            cuts = np.concatenate(([0], np.searchsorted(found, edges), [len(found)]))
-            used = np.flatnonzero(np.diff(cuts))
-            rows = [(cuts[b], cuts[b + 1]) for b in used]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(used, pa.int32()),
-                    pa.array([part] * len(used), pa.int32()),
-                    pa.array([number] * len(used), pa.int32()),
-                    pa.array([b - a for a, b in rows], pa.int32()),
-                    pa.array([encode(found[a:b]) for a, b in rows], pa.binary()),
-                    pa.array([None if extra is None else extra[a:b].tobytes() for a, b in rows], pa.binary()),
-                ],
-                ["bucket", "part", "chunk", "n", "keys", "extra"],
-            )
 
     return docs.mapInArrow(run, REQUEST)
 
@@ -166,17 +169,33 @@ def told(docs: DataFrame, path: str, kind, use, schema: str) -> DataFrame:
     """use(part, number of the chunk's first row, slices, values in the order of the chunk's keys) yields record batches."""
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-        answers, row = fetch(path, part), 0
-        for number, held in enumerate(chunks(batches)):
-            replies = answers.pop(number, [])
-            values = np.concatenate([unpack(x, kind) for x in replies]) if replies else np.zeros(0, kind)
-            yield from use(part, row, held, values)
+        part, row = TaskContext.get().partitionId(), 0
+        answers = fetch(path, part)
+        for held in chunks(batches):
+            yield from use(part, row, held, _values(answers, row, kind))
             row += sum(x.num_rows for x in held)
 
     return docs.mapInArrow(run, schema)
 
 
+def told_twice(docs: DataFrame, path: str, second: str, kind, use, schema: str) -> DataFrame:
+    """As told, with the values of two places."""
+
+    def run(batches):
+        part, row = TaskContext.get().partitionId(), 0
+        one, two = fetch(path, part), fetch(second, part)
+        for held in chunks(batches):
+            yield from use(part, row, held, _values(one, row, kind), _values(two, row, kind))
+            row += sum(x.num_rows for x in held)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _values(answers: dict[int, list[bytes]], row: int, kind) -> np.ndarray:
+    replies = answers.pop(row, [])
+    return np.concatenate([unpack(x, kind) for x in replies]) if replies else np.zeros(0, kind)
+
+
 def row_key(part: int, row: int, n: int) -> np.ndarray:
     """Keys of n rows of a scan partition: the same in each scan."""
     return (np.int64(part) << np.int64(32)) + np.arange(row, row + n, dtype=np.int64)

@@ -7,6 +7,7 @@ import importlib
 #: Query name and module; a module has query(spark, sf_dir) and may have ORACLE_SQL.
 OPERATORS = {
     "op7_language_id": "op7_language",
+    "op1_suffix_array": "op1_suffixes",
     "op3_ngram_jaccard": "op3_jaccard",
     "op10_line_dedup": "op10_lines",
 }
