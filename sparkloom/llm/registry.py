@@ -6,6 +6,7 @@ import importlib
 
 #: Query name and module; a module has query(spark, sf_dir) and may have ORACLE_SQL.
 OPERATORS = {
+    "op6_decontaminate": "op6_decontaminate",
     "op7_language_id": "op7_language",
     "op1_suffix_array": "op1_suffixes",
     "op3_ngram_jaccard": "op3_jaccard",
