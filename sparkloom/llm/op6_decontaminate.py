@@ -49,24 +49,28 @@ def _shingles(h: np.ndarray) -> np.ndarray:
 class Benchmark:
     """The items' shingle bags, weights, fingerprints, and the blocks that index them."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int | None], texts: list[str | None], counts: dict[int, int] | None = None, items: int = 0):
+        """counts and items: the items that have each shingle and all items, if these are but a part of them."""
         found = []
         for i, text in zip(ids, texts):
             h, _, _ = common.words(pa.array([text], pa.string()))
             if len(h):
                 found.append((i, h))
-        self.ids = np.array([i for i, _ in found], np.int64)
+        self.ids = [i for i, _ in found]
         self.sizes = np.array([len(h) for _, h in found], np.int64)
         bags = [np.unique(_shingles(h), return_counts=True) for _, h in found]
         self.known = np.unique(np.concatenate([b for b, _ in bags])) if bags else np.zeros(0, np.uint64)
         has = np.zeros(len(self.known))
         self.bags = []
-        for keys, counts in bags:
+        for keys, times in bags:
             at = np.searchsorted(self.known, keys)
             has[at] += 1
-            self.bags.append((at, counts))
-        self.weight = np.log1p(len(bags) / np.maximum(has, 1))
-        self.other = float(np.log1p(len(bags)))  # of a shingle that no item has
+            self.bags.append((at, times))
+        if counts is not None:
+            has = np.array([counts[k] for k in self.known.tolist()], float)
+        items = items or len(bags)
+        self.weight = np.log1p(items / np.maximum(has, 1))
+        self.other = float(np.log1p(items))  # of a shingle that no item has
         self.total = np.array([(self.weight[at] * n).sum() for at, n in self.bags])
         self.prints = np.array([fingerprint(self.known[at], self.weight[at] * n) for at, n in self.bags], np.uint64)
         self.maybe = np.zeros(1 << _FILTER, bool)
@@ -167,12 +171,30 @@ def _scan(bench: Benchmark, part: pa.RecordBatch, similarity: float):
 
 
 def _parts(benchmark: DataFrame, most: int):
-    """The benchmark in parts of bounded size, by a hash of the item."""
+    """The benchmark in parts of bounded size, by a hash of the item, with counts of the whole."""
+    benchmark = benchmark.select("item_id", "text")
     size = benchmark.select(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + size // most
-    for i in range(n):
-        rows = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
+    if n == 1:
+        rows = benchmark.collect()
         yield Benchmark([r.item_id for r in rows], [r.text for r in rows])
+        return
+    parts = benchmark.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+
+    def shingles(batches):
+        for batch in batches:
+            for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist()):
+                h, _, _ = common.words(pa.array([text], pa.string()))
+                own = np.unique(_shingles(h)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([part] * len(own), pa.int64()), pa.array(np.arange(len(own)) == 0)], ["shingle", "part", "head"])
+
+    held = common.stored(parts.mapInArrow(shingles, "shingle bigint, part bigint, head boolean"), "shingles")
+    items = held.where("head").count()
+    counted = held.groupBy("shingle").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts"))
+    for i in range(n):
+        rows = parts.where(F.col("part") == i).collect()
+        counts = {r.shingle % (1 << 64): r.n for r in counted.where(F.array_contains("parts", F.lit(i).cast("bigint"))).collect()}
+        yield Benchmark([r.item_id for r in rows], [r.text for r in rows], counts, items)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, most: int = PART_CHARS) -> DataFrame:
@@ -187,7 +209,7 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                     if rows:
                         row, item, a, span, hamming, value = zip(*rows)
                         yield pa.RecordBatch.from_arrays(
-                            [pc.cast(part.column("doc_id"), pa.int64()).take(pa.array(row)), pa.array(bench.ids[list(item)]), pa.array(a, pa.int32()), pa.array(span, pa.int32()), pa.array(hamming, pa.int32()), pa.array(value, pa.float64())],
+                            [pc.cast(part.column("doc_id"), pa.int64()).take(pa.array(row)), pa.array([bench.ids[x] for x in item], pa.int64()), pa.array(a, pa.int32()), pa.array(span, pa.int32()), pa.array(hamming, pa.int32()), pa.array(value, pa.float64())],
                             ["doc_id", "item_id", "first_word", "words", "hamming", "similarity"],
                         )
 
