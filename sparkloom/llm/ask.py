@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import common
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 REQUEST = "bucket int, part int, chunk int, n int, keys binary, extra binary"
 REPLY = "part int, chunk int, bucket int, reply binary"
 _PLAIN = ("Project", "Filter", "Relation", "LogicalRelation", "LogicalQueryStage", "+-", ":-")
