@@ -10,6 +10,7 @@ OPERATORS = {
     "op6_decontaminate": "op6_decontaminate",
     "op7_language_id": "op7_language",
     "op1_suffix_array": "op1_suffixes",
+    "op2_license_scan": "op2_licenses",
     "op3_ngram_jaccard": "op3_jaccard",
     "op9_sentencepiece": "op9_sentencepiece",
     "op10_line_dedup": "op10_lines",
