@@ -7,6 +7,7 @@ import importlib
 #: Query name and module; a module has query(spark, sf_dir) and may have ORACLE_SQL.
 OPERATORS = {
     "op4_compression_bands": "op4_compression",
+    "op5_toxicity": "op5_toxicity",
     "op6_decontaminate": "op6_decontaminate",
     "op7_language_id": "op7_language",
     "op1_suffix_array": "op1_suffixes",
