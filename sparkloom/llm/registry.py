@@ -13,6 +13,7 @@ OPERATORS = {
     "op1_suffix_array": "op1_suffixes",
     "op2_license_scan": "op2_licenses",
     "op3_ngram_jaccard": "op3_jaccard",
+    "op8_range_coder": "op8_range_coder",
     "op9_sentencepiece": "op9_sentencepiece",
     "op10_line_dedup": "op10_lines",
 }
