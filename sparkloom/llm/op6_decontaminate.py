@@ -11,10 +11,10 @@ radius RADIUS at least one block differs in RADIUS // 8 bits at most, so probing
 every block with that many flips finds all items within the radius. Each
 candidate within the radius is then verified by its exact similarity.
 
-A window can reach the similarity only if the item's shingles that it holds weigh
-enough. An upper bound of that weight, from running sums over the document, rules
-out windows before any fingerprint is made; it never rules out one that would
-verify.
+A window can reach the similarity only if the items' shingles that it holds weigh
+enough. An upper bound, from running sums over the text, rules out windows before
+any fingerprint is made; it never rules out one that would verify. Fingerprints of
+the others are differences of running sums, too.
 
 The benchmark reaches the tasks in parts of ``PART_CHARS`` characters at most, a
 scan of the documents a part.
@@ -75,6 +75,8 @@ class Benchmark:
         self.prints = np.array([fingerprint(self.known[at], self.weight[at] * n) for at, n in self.bags], np.uint64)
         self.maybe = np.zeros(1 << _FILTER, bool)
         self.maybe[self.known >> np.uint64(64 - _FILTER)] = True
+        #: Item and shingle numbers in one, sorted.
+        self.members = np.concatenate([i * len(self.known) + at for i, (at, _) in enumerate(self.bags)]) if bags else np.zeros(0, np.int64)
         self.by_size = {int(n): np.flatnonzero(self.sizes == n) for n in np.unique(self.sizes)}
         self.tables = {n: block_tables(self.prints[x]) for n, x in self.by_size.items()}
 
@@ -94,7 +96,7 @@ _BITS = np.arange(64, dtype=np.uint64)
 
 def fingerprint(keys: np.ndarray, weights: np.ndarray) -> np.uint64:
     signs = ((common.mix(keys.astype(np.uint64))[:, None] >> _BITS) & np.uint64(1)).astype(np.float64) * 2 - 1
-    return np.bitwise_or.reduce(np.where(weights @ signs > 0, np.uint64(1) << _BITS, np.uint64(0)))
+    return np.bitwise_or.reduce(np.where(weights @ signs > 1e-7, np.uint64(1) << _BITS, np.uint64(0)))
 
 
 def block_tables(prints: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
@@ -107,67 +109,101 @@ def block_tables(prints: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
     return out
 
 
-def candidates(tables: list[np.ndarray], prints: np.ndarray, query: np.uint64, radius: int = RADIUS) -> np.ndarray:
-    """The numbers of all fingerprints within the radius of the query."""
-    near = np.zeros(len(prints), bool)
+def candidates(tables: list[np.ndarray], prints: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (number of the query, number of the fingerprint) within the radius."""
+    near = np.zeros((len(queries), len(prints)), bool)
     for block, table in enumerate(tables):
-        near |= table[int(query >> np.uint64(8 * block)) & 255]
-    near = np.flatnonzero(near)
-    return near[np.bitwise_count(prints[near] ^ query) <= radius]
+        near |= table[((queries >> np.uint64(8 * block)) & np.uint64(255)).astype(np.int64)]
+    q, i = np.nonzero(near)
+    close = np.bitwise_count(prints[i] ^ queries[q]) <= radius
+    return q[close], i[close]
+
+
+def _windows(bench: Benchmark, weight: np.ndarray, own: np.ndarray, first: np.ndarray, similarity: float):
+    """Places and sizes, in shingles, of the windows that may reach the similarity, by item size.
+
+    With W the weight of the window and I that of the item, they share similarity / (1 + similarity) * (W + I)
+    at least, and no more than what the window holds of the items' shingles."""
+    share = similarity / (1 + similarity)
+    gain = np.concatenate(([0.0], np.cumsum(own - share * weight)))
+    words = np.diff(first)
+    low = np.minimum(first[:-1], len(gain) - 1)
+    high = np.maximum(np.minimum(first[1:] - 1, len(gain) - 1), low)
+    whole = gain[high] - gain[low]
+    for size, items in bench.by_size.items():
+        if size == 1:
+            continue
+        pairs, least = size - 1, share * bench.total[items].min() - 1e-6
+        at = np.flatnonzero(gain[pairs:] - gain[:-pairs] >= least) if pairs < len(gain) else np.zeros(0, np.int64)
+        short = np.flatnonzero((words > 1) & (words < size) & (whole >= least))
+        yield size, np.concatenate((at, low[short])), np.concatenate((np.full(len(at), pairs), words[short] - 1))
+
+
+def _may(bench: Benchmark, number: np.ndarray, total: np.ndarray, at: np.ndarray, n: np.ndarray, item: np.ndarray, similarity: float) -> np.ndarray:
+    """Which windows hold enough of their item's own shingles, repeated ones counted in full."""
+    share, out = similarity / (1 + similarity), np.zeros(len(at), bool)
+    for pairs in np.unique(n).tolist():
+        some = np.flatnonzero(n == pairs)
+        for lot in np.array_split(some, 1 + len(some) * pairs // (1 << 20)):
+            found = number[at[lot][:, None] + np.arange(pairs)]
+            key = item[lot][:, None] * len(bench.known) + found
+            place = np.minimum(np.searchsorted(bench.members, key), len(bench.members) - 1)
+            held = (bench.weight[np.maximum(found, 0)] * ((bench.members[place] == key) & (found >= 0))).sum(1)
+            out[lot] = held >= share * (total[at[lot] + pairs] - total[at[lot]] + bench.total[item[lot]]) - 1e-6
+    return out
 
 
-def matches(bench: Benchmark, h: np.ndarray, shingle: np.ndarray, number: np.ndarray, similarity: float = SIMILARITY, radius: int = RADIUS):
-    """(item, first word, words, hamming, similarity) of a document, the best window for each item."""
-    weight = np.where(number >= 0, bench.weight[np.maximum(number, 0)], 0.0)
-    sums = np.concatenate(([0.0], np.cumsum(weight)))
-    best: dict[int, tuple] = {}
-    for size, items in bench.by_size.items():
-        if (len(h) == 1) != (size == 1):
-            continue  # a bag of one word and a bag of pairs share nothing
-        span = min(size, len(h))
-        pairs = max(1, span - 1)
-        held = sums[pairs:] - sums[:-pairs]
-        # the items' weight that a window holds must be the similarity times the least item's
-        for a in np.flatnonzero(held >= similarity * bench.total[items].min() - 1e-6):
-            numbers, keys = number[a : a + pairs], shingle[a : a + pairs]
-            known, counts = np.unique(numbers[numbers >= 0], return_counts=True)
-            rest = keys[numbers < 0]
-            window = fingerprint(np.concatenate([bench.known[known], rest]), np.concatenate([bench.weight[known] * counts, np.full(len(rest), bench.other)]))
-            near = candidates(bench.tables[size], bench.prints[items], window, radius)
-            if not len(near):
-                continue
-            total = (bench.weight[known] * counts).sum() + bench.other * len(rest)
-            for item in items[near]:
-                at, n = bench.bags[item]
-                _, i, j = np.intersect1d(known, at, assume_unique=True, return_indices=True)
-                shared = (np.minimum(counts[i], n[j]) * bench.weight[known[i]]).sum()
-                found = shared / (total + bench.total[item] - shared)
-                if found >= similarity - 1e-9 and (item not in best or found > best[item][3] + 1e-12):
-                    best[item] = (int(a), span, int(np.bitwise_count(bench.prints[item] ^ window)), float(found))
-    return [(item, *x) for item, x in sorted(best.items())]
-
-
-def _scan(bench: Benchmark, part: pa.RecordBatch, similarity: float):
-    """(row, item, ...) of all matches of a slice."""
+def _scan(bench: Benchmark, part: pa.RecordBatch, similarity: float, radius: int = RADIUS):
+    """(row, item, first word, words, hamming, similarity) of a slice's matches, the best window for each row and item."""
     h, doc, first = common.words(part.column("text"))
     if not len(bench.ids) or not len(h):
         return
-    pairs = common.window_hash(h, 2)
-    number = bench.look(pairs)
-    number[doc[1:] != doc[:-1]] = -1
-    sums = np.concatenate(([0.0], np.cumsum(np.where(number >= 0, bench.weight[np.maximum(number, 0)], 0.0))))
-    # a document is looked at closely if the longest window of it could hold enough for the lightest item
-    long = np.minimum(bench.sizes.max(), len(pairs))
-    here = np.arange(len(pairs))
-    held = sums[np.minimum(here + long, len(pairs))] - sums[here]
-    rows = set(np.unique(doc[:-1][held >= similarity * bench.total.min() - 1e-6]).tolist()) if len(pairs) else set()
-    rows |= set(np.flatnonzero(np.diff(first) == 1).tolist()) if 1 in bench.by_size else set()
-    for row in sorted(rows):
-        a, b = first[row], first[row + 1]
-        own = h[a:b]
-        keys = pairs[a : b - 1] if b - a > 1 else own
-        for found in matches(bench, own, keys, number[a : b - 1] if b - a > 1 else bench.look(own), similarity):
-            yield row, *found
+    best: dict[tuple[int, int], tuple] = {}
+    if 1 in bench.by_size:  # an item of one word is held by a document of that word alone
+        for row in np.flatnonzero(np.diff(first) == 1).tolist():
+            for item in bench.by_size[1].tolist():
+                if bench.known[bench.bags[item][0][0]] == h[first[row]]:
+                    best[row, item] = (0, 1, 0, 1.0)
+    keys = common.window_hash(h, 2)
+    number = bench.look(keys)
+    held = np.where(number >= 0, bench.weight[np.maximum(number, 0)], 0.0)
+    weight = np.where(number >= 0, held, bench.other)
+    # no window may hold the pair of two documents' words
+    apart = doc[1:] != doc[:-1]
+    cost, own = np.where(apart, 1e9, weight), np.where(apart, 0.0, held)
+    total = np.concatenate(([0.0], np.cumsum(weight)))
+    windows = [(size, at, n) for size, at, n in _windows(bench, cost, own, first, similarity) if len(at)]
+    if windows:
+        covered = np.zeros(len(keys) + 1, np.int64)
+        for _, at, n in windows:
+            np.add.at(covered, at, 1)
+            np.add.at(covered, at + n, -1)
+        rank = np.concatenate(([0], np.cumsum(np.cumsum(covered[:-1]) > 0)))
+        used = np.flatnonzero(np.diff(rank))
+        signs = ((common.mix(keys[used])[:, None] >> _BITS) & np.uint64(1)).astype(np.float64) * 2 - 1
+        sums = np.zeros((len(used) + 1, 64))
+        np.cumsum(signs * weight[used][:, None], axis=0, out=sums[1:])
+    for size, at, n in windows:
+        items = bench.by_size[size]
+        for lot in range(0, len(at), 8192):
+            a, m = at[lot : lot + 8192], n[lot : lot + 8192]
+            prints = np.bitwise_or.reduce(np.where(sums[rank[a + m]] - sums[rank[a]] > 1e-7, np.uint64(1) << _BITS, np.uint64(0)), axis=1)
+            q, i = candidates(bench.tables[size], bench.prints[items], prints, radius)
+            enough = _may(bench, number, total, a[q], m[q], items[i], similarity)
+            for q, i in zip(q[enough].tolist(), i[enough].tolist()):
+                item, start, pairs = int(items[i]), int(a[q]), int(m[q])
+                numbers = number[start : start + pairs]
+                known, counts = np.unique(numbers[numbers >= 0], return_counts=True)
+                bag, times = bench.bags[item]
+                _, x, y = np.intersect1d(known, bag, assume_unique=True, return_indices=True)
+                shared = (np.minimum(counts[x], times[y]) * bench.weight[known[x]]).sum()
+                whole = (bench.weight[known] * counts).sum() + bench.other * (pairs - counts.sum())
+                value = float(shared / (whole + bench.total[item] - shared))
+                row = int(doc[start])
+                if value >= similarity - 1e-9 and ((row, item) not in best or (-round(value, 12), start) < (-round(best[row, item][3], 12), best[row, item][0] + first[row])):
+                    best[row, item] = (start - int(first[row]), pairs + 1, int(np.bitwise_count(bench.prints[item] ^ prints[q])), value)
+    for (row, item), found in sorted(best.items()):
+        yield row, item, *found
 
 
 def _parts(benchmark: DataFrame, most: int):
