@@ -6,7 +6,8 @@ alone, and has a CRC-32 of its ids. An id's probability mixes
 
 - order 2: the id that last followed the same two ids in the block,
 - order 1: the id that last followed the same id,
-- order 0: the ids of the block so far, as of its last power of two of ids,
+- order 0: the ids of the block so far, as of the last refresh (after 64, 256, 1024, ...
+  ids),
 - one part of ``TOTAL`` for each id of the vocabulary, so that nothing is impossible.
 
 An order's weight is its record in the block so far: right predictions over
@@ -41,7 +42,7 @@ from sparkloom.llm import ask, common, op9_sentencepiece
 BLOCK = 8192
 TOTAL_BITS = 22
 TOTAL = 1 << TOTAL_BITS
-FIRST_REFRESH = 64
+FIRST_REFRESH, REFRESH = 64, 4
 BLOCKS = "block bigint, doc_ids array<bigint>, counts array<int>, continued boolean, n int, checksum bigint, payload binary"
 _LOW32 = 1 << 32
 
@@ -90,7 +91,7 @@ def intervals(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]
         high += np.where(p <= x, w, 0)
     begin, known = 0, 0
     while begin < n:
-        end = min(n, max(FIRST_REFRESH, 2 * known))
+        end = min(n, max(FIRST_REFRESH, REFRESH * known))
         part = slice(begin, end)
         if not known:
             below, upto, size = x[part], x[part] + 1, vocabulary
@@ -149,7 +150,7 @@ def decode_block(payload: bytes, n: int, vocabulary: int) -> np.ndarray:
     made, right = [0, 0], [0, 0]
     sums, known = None, 0
     for t in range(n):
-        if t >= FIRST_REFRESH and t == max(FIRST_REFRESH, 2 * known):
+        if t >= FIRST_REFRESH and t == max(FIRST_REFRESH, REFRESH * known):
             known = t
             sums = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=vocabulary)))).tolist()
         contexts = [(ids[-2], ids[-1]) if t > 1 else None, ids[-1] if t else None]

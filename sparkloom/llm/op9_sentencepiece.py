@@ -25,6 +25,7 @@ isn't exact. Rows that repeat get equal rows. Other columns are left out.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 
 import numpy as np
@@ -101,10 +102,14 @@ def _units(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
 def _encode_units(units: list[bytes], path: str) -> list[list[int]]:
     """Ids of each unit; the library adds a space in front, so one is taken away or hidden by a line feed."""
     sp = model(path)
-    spaced = [u[:1] == b" " for u in units]
-    found = sp.encode([u[1:].decode() if s else "\n" + u.decode() for u, s in zip(units, spaced)], num_threads=1)
-    bare = sp.encode("")
-    return [(ids if u != b" " else _lone(path)) if s else ids[2:] for u, s, ids in zip(units, spaced, found)] if not bare else found
+    out: list = [None] * len(units)
+    spaced = [i for i, u in enumerate(units) if u[:1] == b" "]
+    bare = [i for i, u in enumerate(units) if u[:1] != b" "]
+    for i, ids in zip(spaced, sp.encode([units[i][1:].decode() for i in spaced], num_threads=1)):
+        out[i] = ids or _lone(path)
+    for i, ids in zip(bare, sp.encode(["\n" + units[i].decode() for i in bare], num_threads=1)):
+        out[i] = ids[2:]
+    return out
 
 
 @functools.lru_cache(4)
@@ -113,6 +118,36 @@ def _lone(path: str) -> list[int]:
     return model(path).encode("\n")[:1]
 
 
+class Units:
+    """Encoded units by hash. A worker keeps up to ``MOST`` of them from chunk to chunk and then starts anew."""
+
+    MOST = 1 << 20
+
+    def __init__(self):
+        self.hash = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.int32)
+
+    def lacking(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hash):
+            return np.arange(len(h))
+        return np.flatnonzero(self.hash[np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)] != h)
+
+    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        """h is sorted and new."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = len(self.pool) + np.cumsum(size) - size
+        place = np.searchsorted(self.hash, h)
+        self.hash, self.at, self.size = (np.insert(x, place, y) for x, y in ((self.hash, h), (self.at, at), (self.size, size)))
+        self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size.sum()))])
+
+
+@functools.lru_cache(1)
+def _kept(path: str) -> list[Units]:
+    return [Units()]
+
+
 def encoded(texts: list[pa.Array], path: str = MODEL) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts of a chunk, and the number of each text's."""
     hashes, places, owner, base = [], [], [], 0
@@ -139,12 +174,17 @@ def encoded(texts: list[pa.Array], path: str = MODEL) -> tuple[np.ndarray, np.nd
     h, place, doc = np.concatenate(hashes), np.concatenate(places), np.concatenate(owner)
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
     raw = [x.tobytes() for x in flats]
-    ids = _encode_units([raw[f][a:b] for f, a, b in place[first].tolist()], path)
-    sizes = np.array([len(x) for x in ids], np.int64)
-    pool = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
+    keys = h[first]
+    kept = _kept(path)
+    if len(kept[0].hash) > Units.MOST:
+        kept[0] = Units()
+    units = kept[0]
+    new = units.lacking(keys)
+    units.add(keys[new], _encode_units([raw[f][a:b] for f, a, b in place[first[new]].tolist()], path))
+    found = np.searchsorted(units.hash, keys)
+    sizes, starts = units.size[found], units.at[found]
     lengths = sizes[which]
-    flat = pool[ragged(starts[which], lengths)] if len(which) else np.zeros(0, np.int32)
+    flat = units.pool[ragged(starts[which], lengths)] if len(which) else np.zeros(0, np.int32)
     counts = np.bincount(doc, weights=lengths, minlength=base).astype(np.int64)
     marked = np.concatenate([pc.fill_null(pc.match_substring(x, _SPACE_MARK), False).to_numpy(zero_copy_only=False) for x in texts])
     if marked.any():
