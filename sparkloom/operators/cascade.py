@@ -156,6 +156,9 @@ def _head(r: rules.Rule) -> Head:
 class Dictionary:
     """Heads of some kinds by their lower-cased form, and all prefixes of those."""
 
+    #: Where a head may start: at a run of letters, or at any other character.
+    STARTS = re.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}\s]", flags=re.V1)
+
     def __init__(self, heads: list[Head]):
         self.by: dict[str, list[Head]] = {}
         self.prefixes: set[str] = set()
@@ -163,6 +166,11 @@ class Dictionary:
             key = lowered(h.head)
             self.by.setdefault(key, []).append(h)
             self.prefixes.update(key[:i] for i in range(1, len(key) + 1))
+        self.first = {m.group() for k in self.by if (m := self.STARTS.match(k))}
+
+    def starts(self, low: str) -> list[int]:
+        """Places at which a head may start."""
+        return [m.start() for m in self.STARTS.finditer(low) if m.group() in self.first]
 
     def ends(self, low: str, at: int) -> list[int]:
         """Ends of heads that start at a place, the longest first."""
@@ -203,9 +211,12 @@ class Tokenizer:
         self.priority = Dictionary([h for h, r in pairs if first(h, r)])
         self.lexical = Dictionary([h for h, r in pairs if h.kind == "lexical" and not first(h, r)])
         self.punct = Dictionary([h for h, _ in pairs if h.kind == "punct-split"])
+        self.punct_starts = _c("[" + "".join(re.escape(c) for c in sorted({k[0] for k in self.punct.by})) + "]")
         self.not_symbols = {h.head for h, _ in pairs if h.kind == "non-symbol"}
         self.triggers = tuple(h.head.lower() for h, _ in pairs if h.kind == "ipa-trigger-left") or ("pronounced", "pronunciation", "ipa")
-        self.across = tuple(sorted({w for d in (self.priority, self.lexical) for k in d.by if " " in k for w in [k.split(" ")[0]]}))
+        self.across = tuple(sorted({k for d in (self.priority, self.lexical) for k in d.by if " " in k}))
+        self.wide = tuple(sorted({k for d in (self.priority, self.lexical) for k, hs in d.by.items() if any(h.before or h.not_before or h.after or h.not_after for h in hs)}))
+        self.plain_marks = frozenset(k for k, hs in self.punct.by.items() if k in ".,!?" and any(h.side == "end" and not h.before for h in hs) and all(h.side != "both" or h.after for h in hs))
         phonetic = sorted({re.escape(r.head) for r in raw if r.get("token-category") == "phonetics"}, key=len, reverse=True)
         self.phonetic = _c(rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(phonetic)})(?=\s?\p{{L}})") if phonetic else None
         self.url = self._url(folder)
@@ -323,37 +334,39 @@ class Tokenizer:
             return False
         return not re.search(r"(?:\p{L}\.)$", seg[max(0, s - 2) : s])
 
+    @staticmethod
+    def _within(seg: str, at: int) -> bool:
+        """Whether a place continues letters or digits, marks aside."""
+        i = at - 1
+        while i >= 0 and _mark(seg[i]):
+            i -= 1
+        return i >= 0 and (_alpha(seg[i]) and _alpha(seg[at]) or _num(seg[i]) and _num(seg[at]))
+
     def _dictionary(self, seg, a, line):
-        low, out, at = lowered(seg), [], 0
-        last = ""
-        while at < len(seg):
-            c = seg[at]
-            if _mark(c):
-                at += 1
+        low, out, free = lowered(seg), [], 0
+        for at in self.priority.starts(low):
+            if at < free or _mark(seg[at]) or self._within(seg, at):
                 continue
-            inside = _alpha(last) and _alpha(c) or _num(last) and _num(c)
-            last, done = c, False
-            if not inside:
-                for e in self.priority.ends(low, at):
-                    if not self._apart(seg, at, e):
-                        continue
-                    for h in self.priority.by[low[at:e]]:
-                        if not self._fits(h, line, a + at, a + e) or h.kind == "abbrev" and not self._abbreviation_stands(seg, at, e, h):
-                            continue
-                        source = seg[at:e]
-                        if h.kind in ("abbrev", "lexical"):
-                            out.append(Token(a + at, a + e, "ABBREV" if h.kind == "abbrev" else "LEXICAL-P", h.sem_class, source))
-                        else:
-                            kind = "REPAIR" if h.kind == "repair" else "DECONTRACTION"
-                            out += [Token(a + at + s, a + at + t, kind, h.sem_class, w) for s, t, w in align(source, list(h.target), h.cuts)]
-                        at, last, done = e, seg[e - 1], True
-                        break
-                    if done:
-                        break
-            if not done:
-                at += 1
+            found = self._entry(seg, low, at, a, line)
+            if found:
+                tokens, free = found
+                out += tokens
         return (out, NEXT) if out else None
 
+    def _entry(self, seg, low, at, a, line):
+        """The tokens of the longest entry at a place, and its end."""
+        for e in self.priority.ends(low, at):
+            if not self._apart(seg, at, e):
+                continue
+            for h in self.priority.by[low[at:e]]:
+                if not self._fits(h, line, a + at, a + e) or h.kind == "abbrev" and not self._abbreviation_stands(seg, at, e, h):
+                    continue
+                if h.kind in ("abbrev", "lexical"):
+                    return [Token(a + at, a + e, "ABBREV" if h.kind == "abbrev" else "LEXICAL-P", h.sem_class, seg[at:e])], e
+                kind = "REPAIR" if h.kind == "repair" else "DECONTRACTION"
+                return [Token(a + at + s, a + at + t, kind, h.sem_class, w) for s, t, w in align(seg[at:e], list(h.target), h.cuts)], e
+        return None
+
     def _clitic(self, seg, a, line):
         return self._first(seg, a, [(ENGLISH_CLITIC, "DECONTRACTION")] + ([(GREEK_ELISION, "DECONTRACTION")] if self.lang in GREEK else []))
 
@@ -362,12 +375,9 @@ class Tokenizer:
         return (out, NEXT) if out else None
 
     def _lexical(self, seg, a, line):
-        low, last = lowered(seg), ""
-        for at, c in enumerate(seg):
-            if _mark(c):
-                continue
-            inside, last = _alpha(last) and _alpha(c), c
-            if inside:
+        low = lowered(seg)
+        for at in self.lexical.starts(low):
+            if _mark(seg[at]) or self._within(seg, at) and _alpha(seg[at]):
                 continue
             for e in self.lexical.ends(low, at):
                 for h in self.lexical.by[low[at:e]]:
@@ -387,7 +397,8 @@ class Tokenizer:
         return None if (m := DASH.search(seg)) is None else ([Token(a + m.start(), a + m.end(), "DASH", None, m.group())], SAME)
 
     def _punct(self, seg, a, line):
-        for at in range(len(seg)):
+        for m in self.punct_starts.finditer(seg):
+            at = m.start()
             for e in self.punct.ends(seg, at):
                 for h in self.punct.by[seg[at:e]]:
                     end = e
@@ -463,12 +474,24 @@ class Tokenizer:
         return None if a == b else b > a
 
     def tokens(self, line: str) -> list[Token]:
-        if _ACROSS.search(line) or any(w in line.lower() for w in self.across):
+        low = line.lower()
+        if _ACROSS.search(line) or any(h in low for h in self.across):
             return list(self._line(line))
-        out = []
-        for m in _SPAN_WHITE.finditer(line):
-            s = m.start()
-            out += [Token(s + t.start, s + t.end, t.type, t.sem_class, t.surf) for t in self.part(m.group())]
+        out, at, heads, more = [], 0, self.priority.by, self.lexical.by
+        for part in line.split():
+            s = line.index(part, at)
+            at = e = s + len(part)
+            # words of letters that no rule knows, with a mark behind or not, go no further
+            word, mark = (part, "") if part.isalpha() else (part[:-1], part[-1])
+            if word.isalpha() and (not mark or mark in self.plain_marks) and (key := word.lower()) not in heads and key not in more and (not mark or key + mark not in heads and key + mark not in more):
+                e -= len(mark)
+                out.append(Token(s, e, "WORD-B", None, word))
+                if mark:
+                    out.append(Token(e, e + 1, "PUNCT-E", None, mark))
+            elif any(k in low[s:e] for k in self.wide):
+                return list(self._line(line))  # the rule may look beyond the white space
+            else:
+                out += [t._replace(start=s + t.start, end=s + t.end) for t in self.part(part)]
         return out
 
     def string(self, line: str) -> str:
