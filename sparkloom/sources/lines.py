@@ -13,7 +13,7 @@ def split_lines(docs: DataFrame, *keys: str) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Text files as (path, line_no, text), invalid bytes as replacement characters; line_no follows the file."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    raw = spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     body = F.regexp_replace("text", "\n$", "")
     return split_lines(raw.withColumn("text", body), "path")
 
