@@ -11,7 +11,7 @@ TAG = r"</?[A-Za-z][A-Za-z0-9_:.-]*(?:\s+[A-Za-z0-9_:.-]+\s*=\s*(?:\"[^\"<>]*\"|
 HASHTAG = r"[#@][\p{L}\p{M}\p{N}_]+"
 NUMBER = r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+\.[0-9]+|[0-9]+"
 FILENAME = r"[\p{L}\p{M}\p{N}_./-]*[\p{L}\p{M}\p{N}_-]\.(?:csv|docx?|gif|html?|jpe?g|json|md|pdf|png|py|txt|xml|zip)"
-CLITIC = r"(?i)^([a-z]+)(['’](?:d|em|ll|m|re|s|ve))$"
+CLITIC = r"(?i)^([a-z]+)(['’](?:s|ve|re|ll|m|d|em))$"
 PRODUCT = r"^\p{Lu}+-[\p{Lu}0-9]{1,3}s?$"
 PERIODS = r"^(?:\p{L}{1,2}\.){2,}$"
 SYMBOLS = r"[\x{2190}-\x{2BFF}\x{1F300}-\x{1F64F}]+"

@@ -111,3 +111,10 @@ def boosted(text):
     for pattern, by in _BOOST:
         text = F.regexp_replace(text, pattern, by)
     return text
+
+
+def snapshot(df: DataFrame, path: str, version: str) -> str:
+    """A table kept under a version; one that exists is never overwritten. Returns its place."""
+    place = f"{path}/v{version}"
+    df.write.mode("errorifexists").parquet(place)
+    return place

@@ -52,8 +52,8 @@ SYMBOLS = _c(r"[←-⯿\U0001F300-\U0001F64F](?:[︀-️]?[←-⯿\U0001F300-\U0
 HASHTAG = _c(r"(?:^|(?<=[ .,;()\[\]{}']))[#@][\p{L}\p{M}\p{N}_‌]+(?![.?]?[\p{L}\p{N}])")
 PRODUCT = _c(r"(?<![\p{L}\p{M}\p{N}-])\p{Lu}+[-‐‑–](?=[\p{Lu}\p{Nd}]*\p{Nd})[\p{Lu}\p{Nd}]{1,3}s?(?![\p{L}\p{M}\p{N}-])")
 INITIAL = _c(r"(?<![\p{L}\p{M}\p{N}.'’-])\p{Lu}\.(?=\s?(?:\p{Lu}\.\s?)*(?:\p{Lu}\p{Ll}|Mc\p{Lu}|O['’]\p{Lu}))")
-PERIODS = _c(r"(?<![\p{L}\p{M}\p{N}.])(?:\p{L}\p{M}{0,4}){1,2}\.(?:(?:\p{L}\p{M}{0,4}){1,2}\.)+(?![\p{L}\p{N}])")
-ENGLISH_CLITIC = _c(r"(?i)(?<=[a-z])['’](?:d|em|ll|m|re|s|ve)(?![\p{L}\p{M}\p{N}])")
+PERIODS = _c(r"(?<![\p{L}\p{M}\p{N}.])(?:\p{L}\p{M}{0,4}(?:\p{L}\p{M}{0,4})?\.){2,}(?![\p{L}\p{N}])")
+ENGLISH_CLITIC = _c(r"(?i)(?<=[a-z])['’](?:s|ve|re|ll|m|d|em)(?![\p{L}\p{M}\p{N}])")
 GREEK_ELISION = _c(r"(?<![\p{L}\p{M}])\p{Greek}+\p{M}*['’᾽](?=\s?\p{Greek})")
 ETHIOPIC = r"[፩-፼]+"
 _SEP = r"(?![.,]?\p{Nd})"
