@@ -515,16 +515,17 @@ def language_code(lang: Column) -> Column:
 def tokenized(lines: DataFrame, folder: str = rules.HERE, simple: bool = False) -> DataFrame:
     """lines (with text and lang) with the normalized text as snt and its tokens; other columns pass through.
 
-    A null text has no tokens; a null lang has the rules of all languages only."""
-    ready = lines.withColumn("snt", F.coalesce(normalized(F.col("text")), F.lit(""))).withColumn("_lang", language_code(F.col("lang")))
-    keep = [c for c in ready.columns if c != "_lang"]
+    A null text has no tokens; a null lang has the rules of all languages only. Columns named as results are replaced."""
+    lines = lines.drop("snt", "tokens")
+    ready = lines.withColumn("snt", F.coalesce(normalized(F.col("text")), F.lit(""))).withColumn("__lang_code", language_code(F.col("lang")))
+    keep = [c for c in ready.columns if c != "__lang_code"]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("sem_class", pa.string()), ("surf", pa.string()), ("orig_surf", pa.string())]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields if f.name in keep)
 
     def run(batches):
         for batch in batches:
             starts, ends, types, classes, surfs, originals, sizes = [], [], [], [], [], [], [0]
-            for text, lang in zip(batch.column("snt").to_pylist(), batch.column("_lang").to_pylist()):
+            for text, lang in zip(batch.column("snt").to_pylist(), batch.column("__lang_code").to_pylist()):
                 for t in tokenizer(lang, folder, simple).tokens(text):
                     starts.append(t.start)
                     ends.append(t.end)
