@@ -19,18 +19,34 @@ from sparkloom.llm import common, op3_jaccard, op6_decontaminate, op7_language,
 LINE_COPIES = 5
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of these names (an operator's results) renamed, and their new names."""
+    moved = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            moved[c] = common.unused(f"{c}_own", docs)
+            docs = docs.withColumnRenamed(c, moved[c])
+    return docs, moved
+
+
+def _back(out: DataFrame, columns: list[str], moved: dict[str, str]) -> DataFrame:
+    return out.select(*(F.col(moved[c]).alias(c) if c in moved else F.col(c) for c in columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language; prototypes are fitted on documents of the table."""
     labelled = common.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return op7_language.accepted(docs, labelled).select(*docs.columns)
+    own, moved = _aside(docs, "language", "cosine", "margin")
+    return _back(op7_language.accepted(own, labelled), docs.columns, moved)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document goes if nothing of it is left, and n_chars follows the text."""
-    out = op10_lines.dedup(docs, LINE_COPIES).where("removed = 0 or lines > removed")
+    own, moved = _aside(docs, "lines", "removed")
+    out = op10_lines.dedup(own, LINE_COPIES).where("removed = 0 or lines > removed")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return _back(out, docs.columns, moved)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

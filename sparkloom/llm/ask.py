@@ -14,6 +14,7 @@ The second scan must meet the rows of the first in the same partitions:
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import common
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 REQUEST = "bucket int, part int, chunk int, n int, keys binary, extra binary"
 REPLY = "part int, chunk int, bucket int, reply binary"
 _PLAIN = ("Project", "Filter", "Relation", "LogicalRelation", "LogicalQueryStage", "+-", ":-")
@@ -60,16 +61,25 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def chunks(batches, most: int = CHUNK_BYTES):
-    """Lists of consecutive slices, each list about ``most`` bytes of text."""
+    """Lists of consecutive slices, each list about ``most`` bytes of text.
+
+    Where a list ends depends on the texts alone, not on how the rows come in batches."""
     held, size = [], 0
     for batch in batches:
-        for part in common.slices(batch):
-            n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
-            if held and size + n > most:
-                yield held
-                held, size = [], 0
-            held.append(part)
-            size += n
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        at, n = 0, batch.num_rows
+        while at < n:
+            end = int(np.searchsorted(total, total[at] + most - size, "right")) - 1
+            if end <= at:
+                if held:
+                    yield held
+                    held, size = [], 0
+                    continue
+                end = at + 1  # one text that is longer
+            held += common.slices(batch.slice(at, end - at))
+            size += int(total[end] - total[at])
+            at = end
     if held:
         yield held
 
@@ -107,7 +117,7 @@ def requests(docs: DataFrame, keys, buckets: int, bits: int = 64) -> DataFrame:
             yield from request_rows(part, row, *keys(part, row, held), buckets, bits)
             row += sum(x.num_rows for x in held)
 
-    return docs.mapInArrow(run, REQUEST)
+    return docs.mapInArrow(common.tidied(run), REQUEST)
 
 
 def answered(asked: DataFrame, answer, extra: np.dtype | None = None) -> DataFrame:
@@ -119,6 +129,8 @@ def answered(asked: DataFrame, answer, extra: np.dtype | None = None) -> DataFra
         more = common.unblob(table.column("extra"), extra) if extra is not None else None
         reply = answer(keys, more)
         cuts = np.concatenate(([0], np.cumsum(table.column("n").to_numpy(), dtype=np.int64)))
+        del keys, more
+        common.tidy()
         return pa.table(
             {
                 "part": table.column("part"),
@@ -154,7 +166,7 @@ def post(replies: DataFrame, name: str) -> str:
 
 def fetch(path: str, part: int) -> dict[int, list[bytes]]:
     """The answers to a scan partition: for each chunk the replies in the order of the buckets."""
-    fs, root = pyarrow.fs.FileSystem.from_uri(path)
+    fs, root = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/*", "/", re.sub("^s3[an]:", "s3:", path)))
     where = pyarrow.fs.FileSelector(f"{root}/part={part}", allow_not_found=True)
     found: dict[int, list] = {}
     for file in fs.get_file_info(where):
@@ -175,7 +187,7 @@ def told(docs: DataFrame, path: str, kind, use, schema: str) -> DataFrame:
             yield from use(part, row, held, _values(answers, row, kind))
             row += sum(x.num_rows for x in held)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidied(run), schema)
 
 
 def told_twice(docs: DataFrame, path: str, second: str, kind, use, schema: str) -> DataFrame:
@@ -188,7 +200,7 @@ def told_twice(docs: DataFrame, path: str, second: str, kind, use, schema: str)
             yield from use(part, row, held, _values(one, row, kind), _values(two, row, kind))
             row += sum(x.num_rows for x in held)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidied(run), schema)
 
 
 def _values(answers: dict[int, list[bytes]], row: int, kind) -> np.ndarray:
@@ -218,7 +230,7 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
             row += batch.num_rows
             yield batch if keep.all() else batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidied(run), docs.schema)
 
 
 def volume(docs: DataFrame) -> int:

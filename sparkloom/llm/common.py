@@ -10,6 +10,7 @@ Nulls: a null text counts as an empty one everywhere in this subpackage.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of words: ASCII letters and digits, and every byte of a non-ASCII character.
@@ -32,7 +33,35 @@ _P = 0x9E3779B97F4A7C15
 _Q = 0xD6E8FEB86659FD93
 
 
+def tidy() -> None:
+    """Gives freed memory of this worker back: it lives on between tasks, next to others."""
+    _pow.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not that C library
+
+
+def tidied(run):
+    """run, a function of record batches, with tidy() at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. Arrow batches are kept at 8 MB in sessions that leave their size at the default, for the sake of long documents."""
+    if spark.conf.get(_BATCH_BYTES) == "67108864b":
+        spark.conf.set(_BATCH_BYTES, "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,6 +79,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with so many underscores behind that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as Parquet and read again: lineage ends there."""
     spark = df.sparkSession

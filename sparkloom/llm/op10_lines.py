@@ -97,7 +97,7 @@ def _lines(part: pa.RecordBatch):
     return data, starts, ends, doc, np.arange(len(starts)) - first[doc], filled[ends] > filled[starts]
 
 
-def _found(held: list[pa.RecordBatch]):
+def _found(held: list[pa.RecordBatch], hashed: str):
     """Hash, fingerprint and place of all counted lines of a chunk; the lines of each slice."""
     slices, hashes, marks, docs, texts, numbers = [], [], [], [], [], []
     for part in held:
@@ -110,13 +110,13 @@ def _found(held: list[pa.RecordBatch]):
         hashes.append(h)
         marks.append((common.span_hash(data[::-1], len(data) - e, len(data) - s) >> np.uint64(32)).astype(np.uint32))
         docs.append(ids)
-        texts.append(part.column("_h").to_numpy(zero_copy_only=False)[doc[real]])
+        texts.append(part.column(hashed).to_numpy(zero_copy_only=False)[doc[real]])
         numbers.append(number[real].astype(np.uint32))
     return [np.concatenate(x) for x in (hashes, marks, docs, texts, numbers)], slices
 
 
-def _distinct(held):
-    (h, mark, doc, text, number), slices = _found(held)
+def _distinct(held, hashed):
+    (h, mark, doc, text, number), slices = _found(held, hashed)
     order = np.lexsort((number, text, doc, h))
     k = h[order]
     new = np.ones(len(k), bool)
@@ -159,17 +159,18 @@ def _answer(max_copies: int):
 
 def dedup(docs: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """docs with the text without repeated lines, the number of lines it had, and how many went."""
-    docs = docs.drop("lines", "removed", "_h").withColumn("text", F.coalesce("text", F.lit("")))
-    docs = ask.steady(docs).withColumn("_h", F.xxhash64("text"))
+    docs = docs.drop("lines", "removed").withColumn("text", F.coalesce("text", F.lit("")))
+    hashed = common.unused("_h", docs)
+    docs = ask.steady(docs).withColumn(hashed, F.xxhash64("text"))
     spark = docs.sparkSession
-    asked = ask.requests(docs.select("doc_id", "text", "_h"), lambda part, number, held: _distinct(held), common.shuffles(spark))
+    asked = ask.requests(docs.select("doc_id", "text", hashed), lambda part, number, held: _distinct(held, hashed), common.shuffles(spark))
     place = ask.post(ask.answered(asked, _answer(max_copies), _EXTRA), "lines")
-    columns = [c for c in docs.columns if c != "_h"]
-    plain = docs.drop("_h")
+    columns = [c for c in docs.columns if c != hashed]
+    plain = docs.drop(hashed)
     schema = common.extended(plain, RESULTS)
 
     def use(part, number, held, values):
-        (h, _, ids, texts, numbers), slices = _found(held)
+        (h, _, ids, texts, numbers), slices = _found(held, hashed)
         keys, which = np.unique(h, return_inverse=True)
         if len(values) != len(keys):
             raise ValueError("the documents changed between two scans")

@@ -35,13 +35,17 @@ FOUND = "doc_id bigint, license string, first_word int, words int"
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;match=(\d+))>>")
 
-_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted
-provided that the following conditions are met: <<var;match=1>> Redistributions of source code must retain the above
-copyright notice, this list of conditions and the following disclaimer. <<var;match=1>> Redistributions in binary form
-must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
-and/or other materials provided with the distribution."""
-_AS_IS = """THIS SOFTWARE IS PROVIDED BY <<var;match=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
-LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+# Wording as phrases, which are joined by spaces.
+_CONDITIONS = [
+    "Redistribution and use in source and binary forms,", "with or without modification,", "are permitted provided that the following conditions are met:", "<<var;match=1>>",
+    "Redistributions of source code", "must retain the above copyright notice,", "this list of conditions and the following disclaimer.", "<<var;match=1>>",
+    "Redistributions in binary form", "must reproduce the above copyright notice,", "this list of conditions and the following disclaimer", "in the documentation and/or other materials", "provided with the distribution.",
+]
+_NAMES = ["<<var;match=1>>", "Neither the name of", "<<var;match=12>>", "nor the names of", "<<var;match=2>>", "contributors may be used", "to endorse or promote products", "derived from this software", "without specific prior written permission."]
+_AS_IS = [
+    "THIS SOFTWARE IS PROVIDED BY", "<<var;match=12>>", '"AS IS"', "AND ANY EXPRESS OR IMPLIED WARRANTIES,", "INCLUDING, BUT NOT LIMITED TO,",
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY", "AND FITNESS FOR A PARTICULAR PURPOSE", "ARE DISCLAIMED.",
+]
 
 TEMPLATES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
@@ -54,9 +58,8 @@ paragraph)<<endOptional>> shall be included in all copies or substantial portion
 <<beginOptional>>Licensed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> MIT License""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
 hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "BSD-2-Clause": f"{_CONDITIONS} {_AS_IS}",
-    "BSD-3-Clause": f"""{_CONDITIONS} <<var;match=1>> Neither the name of <<var;match=12>> nor the names of its contributors
-may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS}""",
+    "BSD-2-Clause": " ".join(_CONDITIONS + _AS_IS),
+    "BSD-3-Clause": " ".join(_CONDITIONS + _NAMES + _AS_IS),
     "Apache-2.0": """<<beginOptional>>Licensed under the<<endOptional>> Apache License<<beginOptional>>,<<endOptional>>
 Version 2.0 <<beginOptional>>(the "License"); you may not use this file except in compliance with the License. You may
 obtain a copy of the License at <<var;match=8>> Unless required by applicable law or agreed to in writing, software
@@ -202,7 +205,7 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                 at, name, first, n = zip(*rows)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(name), pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "license", "first_word", "words"])
 
-    return docs.select("doc_id", "text").where(held).mapInArrow(run, FOUND)
+    return docs.select("doc_id", "text").where(held).mapInArrow(common.tidied(run), FOUND)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
             keep = pa.array(shared >= threshold * (su + sv - shared) - 1e-9, pa.bool_())
             yield batch.select(["u", "v"]).filter(keep)
 
-    return both.mapInArrow(run, "u bigint, v bigint")
+    return both.mapInArrow(common.tidied(run), "u bigint, v bigint")
 
 
 def _overlap(a: bytes, b: bytes) -> int:

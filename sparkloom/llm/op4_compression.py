@@ -90,7 +90,7 @@ def judged(docs: DataFrame) -> DataFrame:
                     names,
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidied(run), schema)
 
 
 def kept(docs: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def counts(docs: DataFrame) -> np.ndarray:
         for b, (rows, values) in enumerate(zip(np.array_split(used, 8), np.array_split(total[used], 8))):
             yield pa.RecordBatch.from_arrays([pa.array(rows // (cells // 16 + 1), pa.int32()), pa.array(rows), pa.array(values)], ["bucket", "cell", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket int, cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInArrow(common.tidied(run), "bucket int, cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(cells, np.int64)
     out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     return out
@@ -295,7 +295,7 @@ def flagged(docs: DataFrame, labels: DataFrame, least: float = LEAST_SCORE) -> D
                         ["doc_id", "score", "words", "restored"],
                     )
 
-    return docs.select("doc_id", "text").mapInArrow(run, FLAGGED)
+    return docs.select("doc_id", "text").mapInArrow(common.tidied(run), FLAGGED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

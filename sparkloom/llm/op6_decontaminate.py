@@ -224,7 +224,7 @@ def _parts(benchmark: DataFrame, most: int):
                 own = np.unique(_shingles(h)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([part] * len(own), pa.int64()), pa.array(np.arange(len(own)) == 0)], ["shingle", "part", "head"])
 
-    held = common.stored(parts.mapInArrow(shingles, "shingle bigint, part bigint, head boolean"), "shingles")
+    held = common.stored(parts.mapInArrow(common.tidied(shingles), "shingle bigint, part bigint, head boolean"), "shingles")
     items = held.where("head").count()
     counted = held.groupBy("shingle").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts"))
     for i in range(n):
@@ -249,7 +249,7 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                             ["doc_id", "item_id", "first_word", "words", "hamming", "similarity"],
                         )
 
-        own = docs.select("doc_id", "text").mapInArrow(run, MATCH)
+        own = docs.select("doc_id", "text").mapInArrow(common.tidied(run), MATCH)
         found = own if found is None else found.unionByName(own)
     return found
 
@@ -265,7 +265,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                     keep[sorted({row for row, *_ in _scan(bench, part, similarity)})] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(common.tidied(run), docs.schema)
     return docs
 
 

@@ -157,7 +157,7 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataF
                     names_out,
                 )
 
-    return docs.mapInArrow(run, common.extended(docs, RESULTS))
+    return docs.mapInArrow(common.tidied(run), common.extended(docs, RESULTS))
 
 
 def accepted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:

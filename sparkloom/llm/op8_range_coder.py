@@ -212,7 +212,7 @@ def blocks(docs: DataFrame, path: str = op9_sentencepiece.MODEL, size: int = BLO
                 ["block", "doc_ids", "counts", "continued", "n", "checksum", "payload"],
             )
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, BLOCKS)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(common.tidied(run), BLOCKS)
 
 
 def decoded(coded: DataFrame, path: str = op9_sentencepiece.MODEL) -> DataFrame:
@@ -231,7 +231,7 @@ def decoded(coded: DataFrame, path: str = op9_sentencepiece.MODEL) -> DataFrame:
                     pa.schema([("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("continued", pa.bool_()), ("ids", pa.list_(pa.int32()))]),
                 )
 
-    return coded.mapInArrow(run, "block bigint, place int, doc_id bigint, continued boolean, ids array<int>")
+    return coded.mapInArrow(common.tidied(run), "block bigint, place int, doc_id bigint, continued boolean, ids array<int>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, "a\nb\na\n \nb"), (5, "b\nc"), (5, "b\nc"), (6, "é\na"), (7, "c\n" * 40_000), (None, "é\nlast")]
     docs = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], ROWS).repartition(3)
     out = op.dedup(docs)
-    assert out.columns == ["doc_id", "text", "extra", "lines", "removed"]
+    assert out.columns == ["doc_id", "text", "_h", "extra", "lines", "removed"]
     assert sorted((tuple(r) for r in out.select("doc_id", "text", "lines", "removed").collect()), key=str) == brute(rows)
     assert op.dedup(docs.limit(0)).count() == 0
 

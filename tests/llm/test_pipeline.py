@@ -1,6 +1,8 @@
 import collections
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from sparkloom.llm import op7_language
 from tests.llm.test_op3 import brute as near_groups
@@ -44,8 +46,9 @@ def test_columns_and_odd_rows(spark):
     text = "The and that this for with on are as by the thatness. " * 3
     rows = [(1, None, "en", "s", 0, "x"), (2, "", None, None, None, None), (None, text, "en", "s", 5, "y"), (None, text, "en", "s", 5, "y"), (3, text + "more", "en", "s", 5, "y")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, key string")
+    docs = docs.withColumns({c: F.lit("mine") for c in ("_h", "lines", "removed", "language", "cosine", "margin", "root", "chunk", "part")})
     for data in (docs, docs.limit(0)):
         for name, stage in cp.STAGES[:-1]:
             out = stage(spark, data, SF)
             assert out.columns == docs.columns
-            out.collect()
+            assert all(r.lines == r.language == r._h == "mine" for r in out.collect())
