@@ -121,7 +121,7 @@ def _lone(path: str) -> list[int]:
 class Units:
     """Encoded units by hash. A worker keeps up to ``MOST`` of them from chunk to chunk and then starts anew."""
 
-    MOST = 1 << 20
+    MOST = 1 << 19
 
     def __init__(self):
         self.hash = np.zeros(0, np.uint64)
@@ -198,30 +198,29 @@ def encoded(texts: list[pa.Array], path: str = MODEL) -> tuple[np.ndarray, np.nd
 
 def _small(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
-        for held in ask.chunks(batches):
+        for held in ask.chunks(batches, common.SLICE_BYTES):
             texts = [x.column("text") for x in held]
             ids, counts = encoded(texts, path)
-            back, offsets = decoded(ids, counts, path)
             cuts, at = np.concatenate(([0], np.cumsum(counts))), 0
             for part, column in zip(held, texts):
                 n = part.num_rows
+                back, offsets = decoded(ids[cuts[at] : cuts[at + n]], counts[at : at + n], path)
                 data, own = common.flat(column)
                 own = own - np.arange(n + 1)  # without the spaces behind
-                same = np.diff(own) == np.diff(offsets[at : at + n + 1])
+                same = np.diff(own) == np.diff(offsets)
                 keep = np.ones(len(data), bool)
                 keep[own[1:] + np.arange(n)] = False
-                given, made = data[keep], back[offsets[at] : offsets[at + n]]
-                if not (same.all() and np.array_equal(given, made)):
-                    a, b = given.tobytes(), made.tobytes()
-                    start = offsets[at : at + n + 1] - offsets[at]
-                    same = np.array([a[own[i] : own[i + 1]] == b[start[i] : start[i + 1]] for i in range(n)])
+                given = data[keep]
+                if not (same.all() and np.array_equal(given, back)):
+                    a, b = given.tobytes(), back.tobytes()
+                    same = np.array([a[own[i] : own[i + 1]] == b[offsets[i] : offsets[i + 1]] for i in range(n)])
                 yield pa.RecordBatch.from_arrays(
                     [pc.cast(part.column("doc_id"), pa.int64()), pa.array(counts[at : at + n], pa.int32()), common.lists(ids[cuts[at] : cuts[at + n]], counts[at : at + n], pa.int32()), pa.array(same)],
                     ["doc_id", "n_tokens", "ids", "exact"],
                 )
                 at += n
 
-    return docs.mapInArrow(run, ENCODED)
+    return docs.mapInArrow(common.tidied(run), ENCODED)
 
 
 # Giant documents.
@@ -335,7 +334,7 @@ def _giant(docs: DataFrame, path: str, cut: int) -> DataFrame:
                     pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("no", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("low", pa.int32()), ("units", pa.binary())]),
                 )
 
-    chunks = common.stored(one.mapInArrow(pieces, chunk).repartition(common.shuffles(docs.sparkSession), "uid", "no"), "chunks")
+    chunks = common.stored(one.mapInArrow(common.tidied(pieces), chunk).repartition(common.shuffles(docs.sparkSession), "uid", "no"), "chunks")
 
     def matrices(batches):
         for batch in batches:
@@ -348,7 +347,7 @@ def _giant(docs: DataFrame, path: str, cut: int) -> DataFrame:
         found = boundary_states([np.frombuffer(x).reshape(width, width) for x in table.column("matrix").to_pylist()])
         return pa.table({"uid": table.column("uid"), "no": table.column("no"), "start": pa.array([s for s, _ in found], pa.int32()), "stop": pa.array([e for _, e in found], pa.int32())})
 
-    at = chunks.mapInArrow(matrices, "uid bigint, no int, matrix binary").groupBy("uid").applyInArrow(between, "uid bigint, no int, start int, stop int")
+    at = chunks.mapInArrow(common.tidied(matrices), "uid bigint, no int, matrix binary").groupBy("uid").applyInArrow(between, "uid bigint, no int, start int, stop int")
 
     def traced(batches):
         for batch in batches:
@@ -356,7 +355,7 @@ def _giant(docs: DataFrame, path: str, cut: int) -> DataFrame:
             made = [backtrace(edges(r["units"], r["low"], path), r["a"], r["b"], width, r["start"], r["stop"]) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("no"), pa.array(made, pa.list_(pa.int32()))], ["uid", "no", "ids"])
 
-    ids = chunks.join(at, ["uid", "no"]).mapInArrow(traced, "uid bigint, no int, ids array<int>")
+    ids = chunks.join(at, ["uid", "no"]).mapInArrow(common.tidied(traced), "uid bigint, no int, ids array<int>")
     whole = ids.groupBy("uid").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
     both = one.join(whole, "uid").select("doc_id", "text", "n", "ids")
 
@@ -365,7 +364,7 @@ def _giant(docs: DataFrame, path: str, cut: int) -> DataFrame:
             same = [decode(i, path) == t for i, t in zip(batch.column("ids").to_pylist(), batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("ids"), pa.array(same, pa.bool_())], ["doc_id", "n", "ids", "exact"])
 
-    done = both.mapInArrow(check, "doc_id bigint, n bigint, ids array<int>, exact boolean")
+    done = both.mapInArrow(common.tidied(check), "doc_id bigint, n bigint, ids array<int>, exact boolean")
     return done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n"))).select("doc_id", F.size("ids").alias("n_tokens"), "ids", "exact")
 
 
