@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import common, op3_jaccard, op6_decontaminate, op7_language, op9_sentencepiece, op10_lines
 
-#: Lines may occur so often. Small groups of copies pass whole to the near-duplicate
-#: stage, which keeps one of them; lines beyond that are boilerplate.
+#: Lines may occur so often; lines beyond that are boilerplate. Near copies are no boilerplate,
+#: however many they are: all but one of a group go before lines are counted.
 LINE_COPIES = 5
 
 
@@ -40,9 +40,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(op7_language.accepted(own, labelled), docs.columns, moved)
 
 
+def _one_of_copies(docs: DataFrame) -> DataFrame:
+    """docs with one of each group of near duplicates that hold lines of more than LINE_COPIES places."""
+    name = common.unused("_held", docs)
+    marked = common.stored(op10_lines.holding(docs, LINE_COPIES, name), "marked")
+    some = op3_jaccard.dedup(marked.where(F.col(name)).drop(name))
+    return some.unionByName(marked.where(~F.col(name)).drop(name))
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document goes if nothing of it is left, and n_chars follows the text."""
+    """Repeated lines go; a document goes if nothing of it is left, and n_chars follows the text.
+
+    Of near duplicates among the documents that hold repeated lines, judged by their whole
+    texts, one stays; lines are counted over what is left, so that no copy survives as a
+    fragment and the size of a group decides nothing."""
     own, moved = _aside(docs, "lines", "removed")
+    own = _one_of_copies(own)
     out = op10_lines.dedup(own, LINE_COPIES).where("removed = 0 or lines > removed")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

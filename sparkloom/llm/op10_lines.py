@@ -157,24 +157,51 @@ def _answer(max_copies: int):
     return answer
 
 
-def dedup(docs: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
-    """docs with the text without repeated lines, the number of lines it had, and how many went."""
-    docs = docs.drop("lines", "removed").withColumn("text", F.coalesce("text", F.lit("")))
+def _asked(docs: DataFrame, max_copies: int) -> tuple[DataFrame, str, str]:
+    """docs, steady and with a hash of the text, that column's name, and the place of the answers for their lines."""
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     hashed = common.unused("_h", docs)
     docs = ask.steady(docs).withColumn(hashed, F.xxhash64("text"))
-    spark = docs.sparkSession
-    asked = ask.requests(docs.select("doc_id", "text", hashed), lambda part, number, held: _distinct(held, hashed), common.shuffles(spark))
-    place = ask.post(ask.answered(asked, _answer(max_copies), _EXTRA), "lines")
+    asked = ask.requests(docs.select("doc_id", "text", hashed), lambda part, number, held: _distinct(held, hashed), common.shuffles(docs.sparkSession))
+    return docs, hashed, ask.post(ask.answered(asked, _answer(max_copies), _EXTRA), "lines")
+
+
+def _verdicts(values: np.ndarray, h: np.ndarray) -> np.ndarray:
+    keys, which = np.unique(h, return_inverse=True)
+    if len(values) != len(keys):
+        raise ValueError("the documents changed between two scans")
+    return values[which]
+
+
+def holding(docs: DataFrame, max_copies: int, name: str) -> DataFrame:
+    """docs with a column ``name``: whether a text has a line that occurs more than max_copies times, at its first place or not."""
+    docs, hashed, place = _asked(docs, max_copies)
+    columns = [c for c in docs.columns if c != hashed]
+    schema = common.extended(docs.drop(hashed), f"`{name}` boolean")
+
+    def use(part, number, held, values):
+        (h, *_), slices = _found(held, hashed)
+        many = _verdicts(values, h) > 0
+        at = 0
+        for batch, (_, _, _, doc, _, real) in zip(held, slices):
+            n = int(real.sum())
+            some = np.bincount(doc[real][many[at : at + n]], minlength=batch.num_rows) > 0
+            at += n
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(some)], [*columns, name])
+
+    return ask.told(docs, place, np.uint8, use, schema)
+
+
+def dedup(docs: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+    """docs with the text without repeated lines, the number of lines it had, and how many went."""
+    docs, hashed, place = _asked(docs.drop("lines", "removed"), max_copies)
     columns = [c for c in docs.columns if c != hashed]
     plain = docs.drop(hashed)
     schema = common.extended(plain, RESULTS)
 
     def use(part, number, held, values):
         (h, _, ids, texts, numbers), slices = _found(held, hashed)
-        keys, which = np.unique(h, return_inverse=True)
-        if len(values) != len(keys):
-            raise ValueError("the documents changed between two scans")
-        verdict = values[which]
+        verdict = _verdicts(values, h)
         drop = verdict == 1
         group = np.flatnonzero(verdict == 2)
         if len(group):  # of the lines of a kind, those at its first place stay

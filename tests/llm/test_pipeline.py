@@ -1,6 +1,8 @@
 import collections
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
@@ -52,3 +54,25 @@ def test_columns_and_odd_rows(spark):
             out = stage(spark, data, SF)
             assert out.columns == docs.columns
             assert all(r.lines == r.language == r._h == "mine" for r in out.collect())
+
+
+@pytest.mark.parametrize("size", [5, 300])
+def test_one_of_near_copies_stays_whatever_their_number(spark, size):
+    """Copies edited at different lines, among documents that share a line of boilerplate only."""
+    r = random.Random(size)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(400)]
+    passage = lambda: [r.choices(words, k=20) for _ in range(10)]
+    first, rows = passage(), []
+    for _ in range(size):
+        copy = [list(x) for x in first]
+        for _ in range(3):
+            copy[r.randrange(10)][r.randrange(20)] = "".join(r.choices("klmnopqrst", k=6))
+        rows.append("\n".join(" ".join(x) for x in copy))
+    own = ["\n".join(" ".join(x) for x in passage()) for _ in range(8)]
+    rows += [f"{x}\nthe same line below every text" for x in own]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string").repartition(3)
+    left = {x.doc_id: x.text for x in cp.near(spark, cp.lines(spark, docs, SF), SF).collect()}
+    copies = [i for i in left if i < size]
+    assert len(copies) == 1 and left[copies[0]] == rows[copies[0]]
+    assert [left[size + i].startswith(x) for i, x in enumerate(own)] == [True] * 8
+    assert sum("below every text" in t for t in left.values()) == 1
