@@ -32,8 +32,10 @@ from sparkloom.llm import common
 DIM = 1024
 #: Labelled texts a language from which prototypes are fitted, at most.
 FIT_ROWS = 400
-#: A text is accepted from this cosine and this lead over the second language.
+#: A text is accepted from this cosine and this lead over the second language. The cosine of n
+#: trigrams with their own language grows as sqrt(n / (n + SHORT)), and so does what is asked of it.
 MIN_COSINE = 0.25
+SHORT = 128
 MIN_MARGIN = 0.02
 DOCS_AT_ONCE = 128
 _DENSE = 1 << 22
@@ -70,6 +72,12 @@ def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def bundles(texts: pa.Array, dim: int = DIM):
     """The bundle of each text, a block of texts at a time."""
+    for block, _ in _counted(texts, dim):
+        yield block
+
+
+def _counted(texts: pa.Array, dim: int):
+    """As bundles, with the number of trigrams of each text."""
     symbol, doc = _symbols(texts)
     used = np.unique(symbol)
     rank = np.zeros(1 << 16, np.int64)
@@ -95,7 +103,7 @@ def bundles(texts: pa.Array, dim: int = DIM):
         high = min(n, low + DOCS_AT_ONCE)
         i, j = np.searchsorted(doc, [low, high])
         counts = np.bincount((doc[i:j] - low) * u + gram[i:j], minlength=(high - low) * u).reshape(high - low, u)
-        yield counts.astype(np.float32) @ vectors
+        yield counts.astype(np.float32) @ vectors, counts.sum(1)
 
 
 def fit(labelled: DataFrame, dim: int = DIM, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
@@ -125,25 +133,31 @@ def fit(labelled: DataFrame, dim: int = DIM, rows: int = FIT_ROWS) -> tuple[list
     return [x for x, _ in found], (vectors / np.maximum(norm, 1e-9)).astype(np.float32)
 
 
-def score(texts: pa.Array, names: list[str], prototypes: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
-    """Language, its cosine and its lead over the second, of each text."""
-    cosines = []
-    for block in bundles(texts, prototypes.shape[1]):
+def least_cosine(trigrams: np.ndarray) -> np.ndarray:
+    """The cosine from which a text of so many trigrams is accepted."""
+    return MIN_COSINE * np.sqrt(trigrams / (trigrams + SHORT))
+
+
+def score(texts: pa.Array, names: list[str], prototypes: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, its cosine, its lead over the second, and the number of trigrams, of each text."""
+    cosines, sizes = [], [np.zeros(0, np.int64)]
+    for block, size in _counted(texts, prototypes.shape[1]):
+        sizes.append(size)
         norm = np.linalg.norm(block, axis=1, keepdims=True)
         cosines.append(block @ prototypes.T / np.maximum(norm, 1e-9))
     c = np.concatenate(cosines).astype(np.float64) if cosines else np.zeros((0, len(names)))
     if not names:
-        return [None] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        return [None] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.concatenate(sizes)
     best = c.argmax(1)
     top = c[np.arange(len(c)), best]
     c[np.arange(len(c)), best] = -2
     second = np.where(len(names) > 1, c.max(1), 0.0)
     empty = top == 0
-    return [None if e else names[b] for b, e in zip(best, empty)], top, np.where(empty, 0, top - second)
+    return [None if e else names[b] for b, e in zip(best, empty)], top, np.where(empty, 0, top - second), np.concatenate(sizes)
 
 
-def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:
-    """docs with language, cosine and margin."""
+def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, recognised: bool = False) -> DataFrame:
+    """docs with language, cosine and margin; only those whose language is recognised, if so wished."""
     names, prototypes = list(names), np.asarray(prototypes)
     docs = docs.drop("language", "cosine", "margin")
     names_out = [*docs.columns, "language", "cosine", "margin"]
@@ -151,11 +165,13 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataF
     def run(batches):
         for batch in batches:
             for part in common.slices(batch):
-                language, top, margin = score(part.column("text"), names, prototypes)
-                yield pa.RecordBatch.from_arrays(
+                language, top, margin, size = score(part.column("text"), names, prototypes)
+                out = pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(language, pa.string()), pa.array(top), pa.array(margin)],
                     names_out,
                 )
+                keep = (top >= least_cosine(size)) & (margin >= MIN_MARGIN)
+                yield out if not recognised or keep.all() else out.filter(pa.array(keep))
 
     return docs.mapInArrow(common.tidied(run), common.extended(docs, RESULTS))
 
@@ -163,7 +179,7 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataF
 def accepted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The rows of docs whose language is recognised, with language, cosine and margin."""
     names, prototypes = fit(docs if labelled is None else labelled)
-    return identify(docs, names, prototypes).where((F.col("cosine") >= MIN_COSINE) & (F.col("margin") >= MIN_MARGIN))
+    return identify(docs, names, prototypes, recognised=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

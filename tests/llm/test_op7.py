@@ -36,3 +36,18 @@ def test_odd_rows(spark):
     assert op.accepted(mine, docs).count() == 3
     assert op.accepted(mine.limit(0), docs).count() == 0
     assert op.accepted(mine, docs.limit(0)).count() == 0
+
+
+def test_short_clean_documents_stay(spark):
+    """First words of documents outside the fit, by language; letters at random still go, long or short."""
+    import random
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    r = random.Random(3)
+    texts = docs.where("doc_id % 2 = 1 and length(text) > 200").selectExpr("doc_id", "lang", "substring(text, 1, 30) as text")
+    junk = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz    ", k=k)) for k in [30] * 100 + [2000] * 100]
+    both = texts.unionByName(spark.createDataFrame([(None, None, x) for x in junk], texts.schema))
+    kept = [x.lang for x in op.accepted(both, docs.where("doc_id % 2 = 0")).collect()]
+    for lang, n in texts.groupBy("lang").count().collect():
+        assert kept.count(lang) >= 0.9 * n
+    assert kept.count(None) <= 0.1 * len(junk)
