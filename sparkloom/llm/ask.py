@@ -23,12 +23,14 @@ import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import common
 
 CHUNK_BYTES = 4 << 20
+#: Text whose keys one bucket gets, so that a bucket's memory doesn't grow with the table.
+BUCKET_BYTES = 32 << 20
 REQUEST = "bucket int, part int, chunk int, n int, keys binary, extra binary"
 REPLY = "part int, chunk int, bucket int, reply binary"
 _PLAIN = ("Project", "Filter", "Relation", "LogicalRelation", "LogicalQueryStage", "+-", ":-")
@@ -36,6 +38,10 @@ _PLAIN = ("Project", "Filter", "Relation", "LogicalRelation", "LogicalQueryStage
 
 def steady(docs: DataFrame) -> DataFrame:
     """docs if they are a plain scan of files, else docs written and read again."""
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        # splits of files follow the number of cores, which a lost executor changes between two scans
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
     plan = docs._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
     plain = all(line.lstrip(" :+-").split(" ")[0].split("[")[0] in _PLAIN for line in plan)
     return docs if plain and docs.inputFiles() else common.stored(docs, "steady")
@@ -84,6 +90,11 @@ def chunks(batches, most: int = CHUNK_BYTES):
         yield held
 
 
+def buckets(spark: SparkSession, volume: int) -> int:
+    """Buckets for the keys of so many bytes of text."""
+    return max(common.shuffles(spark), volume // BUCKET_BYTES)
+
+
 def width(bits: int, buckets: int) -> int:
     return -(-(1 << bits) // buckets)
 
@@ -146,6 +157,8 @@ def answered(asked: DataFrame, answer, extra: np.dtype | None = None) -> DataFra
 def pack(values: np.ndarray) -> bytes:
     if values.dtype == bool:
         return np.packbits(values).tobytes() + bytes([len(values) % 8])
+    if values.dtype == np.uint32:  # planes of bytes, as most values are small
+        return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     return values.tobytes()
 
 
@@ -153,6 +166,8 @@ def unpack(data: bytes, kind: np.dtype) -> np.ndarray:
     if np.dtype(kind) == bool:
         bits = np.unpackbits(np.frombuffer(data, np.uint8)[:-1]).view(bool)
         return bits[: len(bits) - (8 - data[-1]) % 8]
+    if np.dtype(kind) == np.uint32:
+        return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
     return np.frombuffer(data, kind)
 
 
@@ -213,14 +228,19 @@ def row_key(part: int, row: int, n: int) -> np.ndarray:
     return (np.int64(part) << np.int64(32)) + np.arange(row, row + n, dtype=np.int64)
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs, which must be steady, without the rows of the keys in dropped's column key."""
+def post_rows(rows: DataFrame) -> str:
+    """Writes row numbers (of the keys in column key) by scan partition; returns the place."""
 
     def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = np.sort(table.column("key").to_numpy() & 0xFFFFFFFF).astype(np.uint32)
         return pa.table({"part": [key[0].as_py()], "chunk": [0], "bucket": [0], "reply": [rows.tobytes()]}, pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("bucket", pa.int32()), ("reply", pa.binary())]))
 
-    place = post(dropped.select("key", F.shiftright("key", 32).cast("int").alias("part")).groupBy("part").applyInArrow(packed, REPLY), "dropped")
+    return post(rows.select("key", F.shiftright("key", 32).cast("int").alias("part")).groupBy("part").applyInArrow(packed, REPLY), "rows")
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs, which must be steady, without the rows of the keys in dropped's column key."""
+    place = post_rows(dropped)
 
     def run(batches):
         found, row = fetch(place, TaskContext.get().partitionId()), 0

@@ -7,12 +7,14 @@ from sparkloom.llm import ask, op3_jaccard as op
 ROWS = "doc_id bigint, text string, lang string, key string, root int"
 
 
-def brute(texts, threshold=op.THRESHOLD, n=op.N):
+def gram_set(text, n=op.N):
+    w = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").lower())
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute(texts, threshold=op.THRESHOLD):
     """Groups of row numbers, by comparing all pairs."""
-    sets = []
-    for t in texts:
-        w = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower())
-        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    sets = [gram_set(t) for t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -36,13 +38,24 @@ def brute(texts, threshold=op.THRESHOLD, n=op.N):
     return {tuple(x) for x in found.values() if len(x) > 1}
 
 
-def test_groups_match_brute_force(spark):
+def brute_links(texts, threshold=op.THRESHOLD):
+    """Of each row: the number of rows of its text, and of different texts that are similar."""
+    sets = [gram_set(t) for t in texts]
+    other = {t: s for t, s in zip(texts, sets) if s}
+    linked = {t: sum(u != t and len(s & z) >= threshold * len(s | z) for u, z in other.items()) for t, s in other.items()}
+    return [(texts.count(t), linked[t]) if s else (0, 0) for t, s in zip(texts, sets)]
+
+
+def test_query_matches_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = docs.orderBy("doc_id").collect()
-    expected = {tuple(sorted(rows[i].doc_id for i in g)) for g in brute([r.text for r in rows])}
-    got = {tuple(r.members) for r in op.query(spark, "/root/testdata/sf0.01").collect()}
-    assert len(expected) > 20
-    assert got == expected
+    texts = [r.text for r in rows]
+    group = {i: g[0] for g in brute(texts) for i in g}
+    found = brute_links(texts)
+    expected = {(rows[i].doc_id, rows[g].doc_id, *found[i]) for i, g in group.items()}
+    got = [tuple(r) for r in op.query(spark, "/root/testdata/sf0.01").collect()]
+    assert len(expected) > 40 and any(x[3] > 1 for x in expected)
+    assert len(got) == len(set(got)) and set(got) == expected
 
 
 def near_copies():
@@ -61,18 +74,22 @@ def near_copies():
     return texts + ["", None, "one", "one", "One two", "one  two!", texts[0], texts[0]]
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.8])
-def test_many_near_copies_and_odd_rows(spark, threshold):
+@pytest.mark.parametrize(("threshold", "hot", "block"), [(0.5, op.HOT, op.BLOCK_BYTES), (0.8, 3, 4000), (0.5, 2, 9000)])
+def test_many_near_copies_and_odd_rows(spark, threshold, hot, block):
+    """Small limits split lists of grams and groups into cells; nothing changes."""
     texts = near_copies()
     rows = [(None if i % 17 == 3 else i // 2, t, None, "k", 1) for i, t in enumerate(texts)]
     docs = ask.steady(spark.createDataFrame(rows, ROWS).repartition(3))
     got = {}
     named = {}
-    for r in op.groups(docs, threshold).collect():
+    links = brute_links(texts, threshold)
+    for r in op.groups(docs, threshold, hot=hot, block=block).collect():
         got.setdefault(r.root, []).append((r.doc_id is None, r.doc_id or 0))
         named[r.key] = r
     expected = brute(texts, threshold)
     assert sorted(map(sorted, got.values())) == sorted(sorted((rows[i][0] is None, rows[i][0] or 0) for i in g) for g in expected)
+    place = {i: (rows[i][0], *links[i]) for g in expected for i in g}
+    assert sorted(map(str, place.values())) == sorted(str((r.doc_id, r.copies, r.links)) for r in named.values())
     kept = op.dedup(docs, threshold)
     assert kept.columns == docs.columns
     assert kept.count() == len(rows) - sum(len(g) - 1 for g in expected)
@@ -81,3 +98,10 @@ def test_many_near_copies_and_odd_rows(spark, threshold):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], ROWS)
     assert op.dedup(docs).count() == 0
+    assert op.groups(ask.steady(docs)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"a{i * 7919 % 100_003}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, long, "", "", 0), (2, long.replace("a5 ", "b5 "), "", "", 0), (3, "a1 a2 a3", "", "", 0)], ROWS)
+    assert sorted((r.doc_id, r.copies, r.links) for r in op.groups(ask.steady(docs)).collect()) == [(1, 1, 1), (2, 1, 1)]
