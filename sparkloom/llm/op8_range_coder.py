@@ -4,17 +4,18 @@ The ids of the documents of a chunk (of the piece model, see op9) follow each ot
 in blocks of ``BLOCK`` ids. Each block starts from nothing, so any block is decoded
 alone, and has a CRC-32 of its ids. An id's probability mixes
 
-- order 2: the id that last followed the same two ids in the block,
-- order 1: the id that last followed the same id,
-- order 0: the ids of the block so far, as of the last refresh (after 64, 256, 1024, ...
-  ids),
-- one part of ``TOTAL`` for each id of the vocabulary, so that nothing is impossible.
-
-An order's weight is its record in the block so far: right predictions over
-predictions, taken from what the higher order left. All weights are integers, so
-that both sides agree to the bit. The coder has a 64-bit range, gives out 32 bits
-at a time, and settles carries at the end. All blocks of a chunk are coded in
-lockstep, one id of each block at a time.
+- order 2: the ids that followed the same two ids in the block so far,
+- order 1: the ids that followed the same id,
+- order 0: all ids of the block so far,
+- equal shares of the vocabulary; besides, each id has one part of ``TOTAL``.
+
+Counts go on with each id. An order takes N / (N + c * D) of what the higher orders
+left, N being what its context has been followed by so far and D the different ids
+among that, so a context that proved to foretell gets more. All of it is in integers,
+so that both sides agree to the bit. The encoder finds all counts of a chunk's blocks
+at once, by radix sorts of contexts; the decoder keeps a sorted list for each context.
+The coder has a 64-bit range, gives out 32 bits at a time, and settles carries at the
+end. All blocks of a chunk are coded in lockstep, one id of each block at a time.
 
 Columns: block (a key, ascending within a scan partition), doc_ids, counts (ids of
 each document in this block; a document may go on in the next block), continued
@@ -22,7 +23,8 @@ each document in this block; a document may go on in the next block), continued
 
 Defined results: null and empty texts have no ids and are listed with count 0.
 Repeated rows are coded as often as they come. An empty table gives no block.
-Other columns are left out.
+A text of any length is coded whole, over as many blocks as it takes. Other columns
+are left out.
 """
 
 from __future__ import annotations
@@ -42,66 +44,115 @@ from sparkloom.llm import ask, common, op9_sentencepiece
 BLOCK = 8192
 TOTAL_BITS = 22
 TOTAL = 1 << TOTAL_BITS
-FIRST_REFRESH, REFRESH = 64, 4
+#: c of orders 0, 1 and 2.
+ESCAPE = (1, 3, 3)
+#: Groups of up to so many ids are counted by comparing all of them.
+SMALL, STEP = 128, 64
+#: Blocks that are counted together.
+TOGETHER = 16
 BLOCKS = "block bigint, doc_ids array<bigint>, counts array<int>, continued boolean, n int, checksum bigint, payload binary"
 _LOW32 = 1 << 32
 
 
-def _followers(ids: np.ndarray, order: int) -> np.ndarray:
-    """For each place the id that last followed its context, or -1. ids are under 2**16."""
-    n = len(ids)
-    out = np.full(n, -1, np.int64)
-    if n <= order:
-        return out
-    at = np.arange(order, n)
-    context = [ids[order - 1 - k : n - 1 - k].astype(np.uint16) for k in range(order)]
-    by = np.arange(len(at))
-    for c in context:  # 16-bit stable sorts are radix sorts
-        by = by[np.argsort(c[by], kind="stable")]
-    same = np.ones(len(by) - 1, bool)
-    for c in context:
-        s = c[by]
-        same &= s[1:] == s[:-1]
-    out[at[by[1:][same]]] = ids[at[by[:-1][same]]]
+def _sorted(*keys: np.ndarray) -> np.ndarray:
+    """The stable order by the keys, the first one counting most; 16-bit stable sorts are radix sorts."""
+    by = np.arange(len(keys[0]))
+    for key in keys[::-1]:
+        top = int(key.max()).bit_length() if len(key) else 0
+        for shift in range(0, top, 16):
+            by = by[np.argsort((key[by] >> shift).astype(np.uint16 if top - shift > 8 else np.uint8), kind="stable")]
+    return by
+
+
+def _heads(by: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Where a new group of equal keys starts in the order."""
+    new = np.ones(len(by), bool)
+    new[1:] = False
+    for key in keys:
+        k = key[by]
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def _smaller_before(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each place of each group (consecutive in x) the earlier places of the group with a smaller value."""
+    out = np.zeros(len(x), np.int64)
+    low = 1
+    while low < SMALL:
+        wide = low * 2
+        some = np.flatnonzero((sizes > low) & (sizes <= wide))
+        earlier = np.tri(wide, wide, -1, dtype=bool)
+        for part in np.array_split(some, max(1, -(-len(some) * wide * wide // (1 << 22)))):
+            if not len(part):
+                continue
+            at = starts[part, None] + np.arange(wide)
+            real = np.arange(wide) < sizes[part, None]
+            held = np.where(real, x[np.minimum(at, len(x) - 1)], np.iinfo(np.int32).max).astype(np.int32)
+            less = ((held[:, None, :] < held[:, :, None]) & earlier).sum(2, dtype=np.uint8)
+            out[at[real]] = less[real]
+        low = wide
+    for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        values, rank = np.unique(x[a : a + n], return_inverse=True)
+        rows = -(-n // STEP)
+        step = np.arange(n) // STEP
+        seen = np.zeros((rows + 1, len(values) + 1), np.int32)
+        seen[1:, 1:] = np.bincount(step * len(values) + rank, minlength=rows * len(values)).reshape(rows, -1)
+        np.cumsum(seen, 0, out=seen)
+        np.cumsum(seen, 1, out=seen)
+        held = np.full(rows * STEP, len(values), np.int32)
+        held[:n] = rank
+        held = held.reshape(rows, STEP)
+        less = ((held[:, None, :] < held[:, :, None]) & np.tri(STEP, STEP, -1, dtype=bool)).sum(2, dtype=np.uint8)
+        out[a : a + n] = seen[step, rank] + less.ravel()[:n]
     return out
 
 
-def _record(prediction: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Predictions, and right ones, before each place."""
-    made = prediction >= 0
-    right = made & (prediction == ids)
-    return np.cumsum(made) - made, np.cumsum(right) - right
-
-
-def intervals(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width, out of TOTAL, of each id of a block."""
-    n = len(ids)
-    x = ids.astype(np.int64)
-    two, one = _followers(ids, 2), _followers(ids, 1)
-    left = np.full(n, TOTAL - vocabulary, np.int64)
-    weights = []
-    for p in (two, one):
-        made, right = _record(p, x)
-        w = np.where(p >= 0, left * (2 * right + 1) // (2 * made + 4), 0)
-        weights.append(w)
-        left = left - w
-    low, high = x.copy(), x + 1
-    for p, w in zip((two, one), weights):
-        low += np.where(p < x, w, 0)
-        high += np.where(p <= x, w, 0)
-    begin, known = 0, 0
-    while begin < n:
-        end = min(n, max(FIRST_REFRESH, REFRESH * known))
-        part = slice(begin, end)
-        if not known:
-            below, upto, size = x[part], x[part] + 1, vocabulary
-        else:
-            sums = np.zeros(vocabulary + 1, np.int64)
-            np.cumsum(np.bincount(x[:known], minlength=vocabulary), out=sums[1:])
-            below, upto, size = sums[x[part]], sums[x[part] + 1], known
-        low[part] += left[part] * below // size
-        high[part] += left[part] * upto // size
-        begin = known = end
+def counted(x: np.ndarray, block: np.ndarray, orders: int = 3) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order, and each place: of what followed the place's context in its block before, how many ids, smaller ones, the same, and different ones."""
+    n = len(x)
+    first = np.ones(n, bool)
+    first[1:] = block[1:] != block[:-1]
+    place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    back = [x] + [np.where(place >= k, np.concatenate((np.zeros(k, x.dtype), x[: max(0, n - k)]))[:n], 0) for k in range(1, orders)]
+    out = []
+    # an order's groups, and the ids within them, are the groups of the next order one place later
+    by, heads = np.arange(n), first
+    for k in range(orders):
+        starts = np.flatnonzero(heads)
+        group = np.cumsum(heads) - 1
+        before = np.arange(n) - starts[group]
+        less = _smaller_before(x[by], starts, np.diff(np.append(starts, n)))
+        keys = (block, np.minimum(place, k), *back[k:0:-1], x)
+        within = _sorted(*keys)
+        new = _heads(within, *keys)
+        runs = np.flatnonzero(new)
+        same = np.empty(n, np.int32)
+        same[within] = np.arange(n) - runs[np.cumsum(new) - 1]
+        once = same[by] == 0
+        fresh = np.cumsum(once)
+        kinds = fresh - once - np.concatenate(([0], fresh))[starts][group]
+        real = place >= k
+        put = np.empty((3, n), np.int64)
+        put[:, by] = before, less, kinds
+        out.append((put[0] * real, put[1] * real, same * real, put[2] * real))
+        if k + 1 < orders:
+            keys = (block, np.minimum(place, k + 1), *back[k + 1 : 0 : -1])
+            by = _sorted(*keys)
+            heads = _heads(by, *keys)
+    return out
+
+
+def intervals(x: np.ndarray, block: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width, out of TOTAL, of each id; ids of a block are consecutive."""
+    x = x.astype(np.int64)
+    low, high, left = x.copy(), x + 1, np.full(len(x), TOTAL - vocabulary, np.int64)
+    for c, (n, less, same, kinds) in list(zip(ESCAPE, counted(x, block)))[::-1]:
+        w = left * n // np.maximum(n + c * kinds, 1)
+        low += w * less // np.maximum(n, 1)
+        high += w * (less + same) // np.maximum(n, 1)
+        left -= w
+    low += left * x // vocabulary
+    high += left * (x + 1) // vocabulary
     return low, high - low
 
 
@@ -111,8 +162,13 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         return []
     steps, lanes = max(map(len, blocks)), len(blocks)
     start, size = np.zeros((steps, lanes), np.uint64), np.full((steps, lanes), TOTAL, np.uint64)
-    for k, b in enumerate(blocks):
-        start[: len(b), k], size[: len(b), k] = intervals(b, vocabulary)
+    lengths = np.array([len(b) for b in blocks])
+    lane = np.repeat(np.arange(lanes), lengths)
+    place = np.arange(len(lane)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    ids, ends = np.concatenate(blocks), np.cumsum(lengths)
+    for k in range(0, lanes, TOGETHER):
+        part = slice(ends[k] - lengths[k], ends[min(k + TOGETHER, lanes) - 1])
+        start[place[part], lane[part]], size[place[part], lane[part]] = intervals(ids[part], lane[part] - k, vocabulary)
     low, span, count = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.int64)
     words = np.zeros((lanes, steps * TOTAL_BITS // 32 + 4), np.uint64)
     bits, half, least = np.uint64(TOTAL_BITS), np.uint64(32), np.uint64(_LOW32)
@@ -146,39 +202,39 @@ def decode_block(payload: bytes, n: int, vocabulary: int) -> np.ndarray:
     words = iter(np.frombuffer(payload, ">u4").tolist())
     code, span = next(words) << 32 | next(words), (1 << 64) - 1
     ids: list[int] = []
-    last: list[dict] = [{}, {}]
-    made, right = [0, 0], [0, 0]
-    sums, known = None, 0
+    followed: tuple[dict, ...] = ({}, {}, {})
     for t in range(n):
-        if t >= FIRST_REFRESH and t == max(FIRST_REFRESH, REFRESH * known):
-            known = t
-            sums = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=vocabulary)))).tolist()
-        contexts = [(ids[-2], ids[-1]) if t > 1 else None, ids[-1] if t else None]
+        contexts = [tuple(ids[t - k :]) if k else () for k in range(3) if t >= k]
         left, parts = TOTAL - vocabulary, []
-        for k in range(2):
-            p = last[k].get(contexts[k], -1) if contexts[k] is not None else -1
-            w = left * (2 * right[k] + 1) // (2 * made[k] + 4) if p >= 0 else 0
-            left -= w
-            parts.append((p, w))
+        for k in range(len(contexts) - 1, -1, -1):
+            seen, kinds = followed[k].get(contexts[k], ((), ()))
+            if seen:
+                w = left * len(seen) // (len(seen) + ESCAPE[k] * len(kinds))
+                left -= w
+                parts.append((w, seen, len(seen)))
 
         def total(x):
-            return x + sum(w for p, w in parts if p < x and p >= 0) + (left * sums[x] // known if known else left * x // vocabulary)
+            return x + left * x // vocabulary + sum([w * bisect.bisect_left(seen, x) // size for w, seen, size in parts])
 
         part = span >> TOTAL_BITS
         target = min(code // part, TOTAL - 1)
-        x = bisect.bisect_right(range(vocabulary + 1), target, key=total) - 1
-        low = total(x)
+        a, b = 0, vocabulary
+        while b - a > 1:
+            middle = (a + b) >> 1
+            if total(middle) <= target:
+                a = middle
+            else:
+                b = middle
+        low = total(a)
         code -= low * part
-        span = part * (total(x + 1) - low)
+        span = part * (total(a + 1) - low)
         if span < _LOW32:
             code, span = code << 32 | next(words, 0), span << 32
-        for k in range(2):
-            p = parts[k][0]
-            made[k] += p >= 0
-            right[k] += p == x
-            if contexts[k] is not None:
-                last[k][contexts[k]] = x
-        ids.append(x)
+        for by, c in zip(followed, contexts):
+            seen, kinds = by.setdefault(c, ([], set()))
+            bisect.insort(seen, a)
+            kinds.add(a)
+        ids.append(a)
     return np.array(ids, np.int64)
 
 
