@@ -6,7 +6,9 @@ A template is a license's wording with markup: ``<<beginOptional>> ..
 over words (runs of letters and digits in lower case, so that white space,
 punctuation, quotes and list marks don't matter; "licence" is read as "license").
 Text is accepted where the mandatory wording is there word for word, in order,
-with nothing between but optional wording and replaced words.
+with nothing between but optional wording and replaced words. The templates have the
+whole mandatory wording of short licenses, and the file notices of long ones; what only
+names a license is another template, ``...-notice``.
 
 Every word may be a match's first. For each start the longest match is taken, and
 of the matches of one license those that don't overlap, from the left. A template
@@ -15,7 +17,9 @@ when it is compiled) occurs, which every match must hold; documents with none of
 these words never leave the JVM.
 
 Defined results: null, empty and unmatched texts have no row. A license that is
-found more than once has a row each. Repeated rows give repeated results.
+found more than once has a row each; of licenses that match at one place each has its
+row. Repeated rows give repeated results, an empty table none. Texts are read whole;
+other columns are left out.
 """
 
 from __future__ import annotations
@@ -29,60 +33,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import common
+from sparkloom.llm import common, license_templates
 
 FOUND = "doc_id bigint, license string, first_word int, words int"
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;match=(\d+))>>")
 
-# Wording as phrases, which are joined by spaces.
-_CONDITIONS = [
-    "Redistribution and use in source and binary forms,", "with or without modification,", "are permitted provided that the following conditions are met:", "<<var;match=1>>",
-    "Redistributions of source code", "must retain the above copyright notice,", "this list of conditions and the following disclaimer.", "<<var;match=1>>",
-    "Redistributions in binary form", "must reproduce the above copyright notice,", "this list of conditions and the following disclaimer", "in the documentation and/or other materials", "provided with the distribution.",
-]
-_NAMES = ["<<var;match=1>>", "Neither the name of", "<<var;match=12>>", "nor the names of", "<<var;match=2>>", "contributors may be used", "to endorse or promote products", "derived from this software", "without specific prior written permission."]
-_AS_IS = [
-    "THIS SOFTWARE IS PROVIDED BY", "<<var;match=12>>", '"AS IS"', "AND ANY EXPRESS OR IMPLIED WARRANTIES,", "INCLUDING, BUT NOT LIMITED TO,",
-    "THE IMPLIED WARRANTIES OF MERCHANTABILITY", "AND FITNESS FOR A PARTICULAR PURPOSE", "ARE DISCLAIMED.",
-]
-
-TEMPLATES = {
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
-<<beginOptional>>and associated documentation files<<endOptional>> (the "Software"), to deal in the Software without
-restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
-and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
-following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next
-paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.""",
-    "MIT-notice": """<<beginOptional>>This <<var;match=3>> is<<endOptional>> <<beginOptional>>Released<<endOptional>>
-<<beginOptional>>Licensed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> MIT License""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "BSD-2-Clause": " ".join(_CONDITIONS + _AS_IS),
-    "BSD-3-Clause": " ".join(_CONDITIONS + _NAMES + _AS_IS),
-    "Apache-2.0": """<<beginOptional>>Licensed under the<<endOptional>> Apache License<<beginOptional>>,<<endOptional>>
-Version 2.0 <<beginOptional>>(the "License"); you may not use this file except in compliance with the License. You may
-obtain a copy of the License at <<var;match=8>> Unless required by applicable law or agreed to in writing, software
-distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
-express or implied. See the License for the specific language governing permissions and limitations under the
-License.<<endOptional>>""",
-    "GPL": """<<beginOptional>>This <<var;match=3>> is licensed under the<<endOptional>> GNU General Public License
-<<beginOptional>>as published by the Free Software Foundation<<endOptional>><<beginOptional>>, either<<endOptional>>
-version <<var;match=1>> <<beginOptional>>of the License<<endOptional>> <<beginOptional>>, or (at your option) any later
-version<<endOptional>>""",
-    "LGPL": """GNU Lesser General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>>
-<<beginOptional>>either<<endOptional>> version <<var;match=2>>""",
-    "AGPL": """GNU Affero General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>>
-<<beginOptional>>either<<endOptional>> version <<var;match=2>>""",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-NC": """<<beginOptional>>Licensed<<endOptional>> under <<beginOptional>>a<<endOptional>> CC BY-NC
-<<beginOptional>>4.0<<endOptional>>""",
-    "CC-BY": """under <<beginOptional>>a<<endOptional>> Creative Commons Attribution <<beginOptional>>4.0
-International<<endOptional>> License""",
-    "CC0": "CC0 1.0 Universal",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "Proprietary": "All rights reserved. <<var;match=6>> No part of this <<var;match=3>> may be reproduced",
-}
+
+def long_form(short: str) -> str:
+    """Markup with its regions written out."""
+    out = short.replace("|", " ").replace("[[", "<<beginOptional>>").replace("]]", "<<endOptional>>")
+    return re.sub(r"\{\{(\d+)\}\}", r"<<var;match=\1>>", out)
+
+
+TEMPLATES = {name: long_form(short) for name, short in license_templates.SHORT.items()}
 
 
 def words(text: str) -> list[str]:
@@ -118,6 +82,7 @@ class Automaton:
         if opened:
             raise ValueError("an optional region isn't closed")
         self.end = len(self.steps)
+        self.mandatory = {w for (w, _), free in zip(self.steps, optional) if not free}
         runs, now = [], []
         for (w, _), free in zip(self.steps, optional):
             now = now + [w] if not free else []
@@ -189,13 +154,25 @@ def scan(text: str, templates: tuple[tuple[str, str], ...]) -> list[tuple[str, i
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
+def telling(automata: list[Automaton]) -> list[tuple[str, ...]]:
+    """A few groups of words such that each template needs all words of one of them."""
+    left, out = list(automata), []
+    while left:
+        # one word for many templates, if it is long; else the anchor of one
+        every = [w for a in left for w in a.mandatory if len(w) > 5]
+        best = (max(sorted(set(every)), key=every.count),) if every else tuple(sorted(set(left[0].anchor), key=len, reverse=True))
+        out.append(best)
+        left = [a for a in left if not a.mandatory.issuperset(best)]
+    return out
+
+
 def find(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """A row for each license that a document holds."""
     chosen = tuple(sorted((TEMPLATES if templates is None else templates).items()))
     automata, _ = compiled(chosen)
     text = F.lower(F.col("text"))
-    rare = sorted({max(a.anchor, key=len) for a in automata.values()})
-    held = functools.reduce(lambda x, y: x | y, (text.contains(w) | (text.contains("licence") if w == "license" else F.lit(False)) for w in rare))
+    holds = lambda w: text.contains("license") | text.contains("licence") if w == "license" else text.contains(w)
+    held = functools.reduce(lambda x, y: x | y, (functools.reduce(lambda x, y: x & y, map(holds, group)) for group in telling(list(automata.values()))))
 
     def run(batches):
         for batch in batches:
