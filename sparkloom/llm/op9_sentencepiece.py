@@ -6,20 +6,23 @@ crosses the start of a unit (spaces and what follows up to the next space or lin
 feed), so a text's encoding is that of its units, one after the other; the
 distinct units of a chunk of documents are encoded once by the library.
 
-A text of more than ``GIANT_BYTES`` is cut every ``CUT_BYTES``, wherever that
-falls. A chunk's lattice has an edge for each piece that starts in it (of the
-merges of the units that it touches). The state at a cut is the number of bytes
-by which the piece there reaches beyond it. A chunk yields the max-plus matrix of
-the best score from each state at its start to each at its end; the matrices are
-combined by an associative scan, which gives the state at each cut, and every
-chunk is then backtraced alone between its two states. A unit longer than
-CUT_BYTES isn't cut. The ids are those that the library gives for the whole text.
+A text of more than ``GIANT_BYTES`` is cut about every ``CUT_BYTES``, between any two
+characters, within a unit too. Around a cut all pieces of the vocabulary that fit the
+text are edges of a lattice; a step from one piece to the next scores the piece if
+the two keep apart when they are merged by themselves, and -inf if not. Merging works
+by pairs, so a way of whole pieces that all keep apart is the encoding, and there
+is only one. The state at a cut is the piece that covers the byte before it. A chunk
+yields the max-plus matrix of the best score from each state at its start to each
+at its end (units that no cut touches are edges of their own); the matrices are
+combined by an associative scan, which gives the state at each cut, and every chunk is
+then backtraced alone between its two states. The ids are those that the library
+gives for the whole text. Shorter texts have no cuts and need no matrices.
 
 Results: doc_id, n_tokens, ids, and whether the decoded ids are the text.
 
 Defined results: null and empty texts have no ids and are exact. A text that holds
 U+2581, which the model reads as a space, is encoded by the library at once and
-isn't exact. Rows that repeat get equal rows. Other columns are left out.
+isn't exact. Rows that repeat get equal rows. An empty table gives none. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -225,59 +229,167 @@ def _small(docs: DataFrame, path: str) -> DataFrame:
 
 # Giant documents.
 
-def cut_points(data: bytes, cut: int) -> list[tuple[int, int, int, int]]:
-    """(start, end) of chunks and (start, end) of the units that they touch, in bytes of the text with its space in front."""
-    flat = np.frombuffer(data, np.uint8)
-    starts = np.append(_units(flat, np.array([0])), len(data))
+
+class Span(NamedTuple):
+    """A piece of the lattice: its place in the text with a space in front, and its ids (the bytes of a character that is no piece)."""
+
+    start: int
+    end: int
+    ids: tuple[int, ...]
+
+
+class Pieces:
+    """The vocabulary by its bytes, and which pieces keep apart."""
+
+    def __init__(self, path: str):
+        self.path = path
+        data, offsets, self.scores = piece_bytes(path)
+        sp = model(path)
+        raw = data.tobytes()
+        self.by: dict[bytes, int] = {}
+        self.byte = [0] * 256
+        for i in range(sp.get_piece_size()):
+            if sp.is_byte(i):
+                self.byte[raw[offsets[i]]] = i
+            elif offsets[i] < offsets[i + 1]:
+                self.by[raw[offsets[i] : offsets[i + 1]]] = i
+        self.reach = max(map(len, self.by))
+        self.apart: dict[tuple[bytes, bytes], bool] = {}
+
+    def at(self, data: bytes, start: int, end: int, offset: int) -> list[Span]:
+        """The pieces that start at a place and end in the unit."""
+        out = [Span(offset + start, offset + e, (i,)) for e in range(start + 1, min(end, start + self.reach) + 1) if (i := self.by.get(data[start:e])) is not None]
+        size = 1
+        while start + size < end and data[start + size] & 0xC0 == 0x80:
+            size += 1
+        if data[start : start + size] not in self.by:  # a character that is no piece
+            out.append(Span(offset + start, offset + start + size, tuple(self.byte[x] for x in data[start : start + size])))
+        return out
+
+    def score(self, span: Span) -> float:
+        return float(sum(self.scores[i] for i in span.ids))
+
+    def keep_apart(self, a: bytes, b: bytes, ids: tuple[int, ...]) -> bool:
+        """Whether merging the bytes of two pieces gives the ids of both."""
+        found = self.apart.get((a, b))
+        if found is None:
+            if len(self.apart) > 1 << 18:
+                self.apart.clear()
+            found = self.apart[a, b] = tuple(_encode_units([a + b], self.path)[0]) == ids
+        return found
+
+
+@functools.lru_cache(2)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
+def cut_points(data: bytes, cut: int, path: str = MODEL) -> list[tuple[int, int, int, int]]:
+    """(start, end) of chunks and of the bytes around that they see, in bytes of the text with its space in front."""
     points = [0]
     while points[-1] < len(data):
         at = points[-1] + cut
-        if at >= len(data):
-            points.append(len(data))
-            continue
-        unit = int(np.searchsorted(starts, at, "right")) - 1
-        points.append(at if starts[unit + 1] - starts[unit] <= cut else int(starts[unit + 1]))
+        while at < len(data) and data[at] & 0xC0 == 0x80:
+            at += 1
+        points.append(min(at, len(data)))
+    flat = np.frombuffer(data, np.uint8)
+    starts = np.append(_units(flat, np.array([0])), len(data))
+    # a cut unit is seen as far as a piece that covers the cut may reach, and one byte on
+    wide = 2 * pieces(path).reach + 4
     out = []
     for a, b in zip(points, points[1:]):
-        low = int(starts[np.searchsorted(starts, a, "right") - 1])
-        high = int(starts[np.searchsorted(starts, b, "left")])
+        low = max(int(starts[np.searchsorted(starts, a, "right") - 1]), a - wide)
+        high = min(int(starts[np.searchsorted(starts, b, "left")]), b + wide)
+        while data[low] & 0xC0 == 0x80:
+            low += 1
+        while high < len(data) and data[high] & 0xC0 == 0x80:
+            high -= 1
         out.append((a, b, low, high))
     return out
 
 
-def edges(data: bytes, offset: int, path: str = MODEL) -> list[tuple[int, int, int, float]]:
-    """(start, end, id, score) of the pieces of whole units that start at the offset."""
-    flat = np.frombuffer(data, np.uint8)
-    starts = _units(flat, np.array([0]))
-    ends = np.append(starts[1:], len(flat))
-    _, at, scores = piece_bytes(path)
-    out, place = [], offset
-    for ids in _encode_units([data[a:b] for a, b in zip(starts, ends)], path):
-        for i in ids:
-            end = place + int(at[i + 1] - at[i])
-            out.append((place, end, i, float(scores[i])))
-            place = end
-    return out
-
-
-def states(path: str = MODEL) -> int:
-    return int(np.diff(piece_bytes(path)[1]).max())
-
-
-def best_scores(lattice, a: int, b: int, width: int) -> np.ndarray:
-    """Best score of the way from start + state (columns) to each position of the chunk and beyond (rows)."""
-    best = np.full((b - a + width, width), _NONE)
-    inside = min(width, len(best))
-    best[np.arange(inside), np.arange(inside)] = 0
-    for s, e, _, score in lattice:
-        if a <= s < b:
-            np.maximum(best[e - a], best[s - a] + score, out=best[e - a])
-    return best
-
-
-def transfer(lattice, a: int, b: int, width: int) -> np.ndarray:
-    """The max-plus matrix from states at the chunk's start to those at its end."""
-    return best_scores(lattice, a, b, width)[b - a : b - a + width].T.copy()
+class Chunk:
+    """The lattice of a chunk: bytes a to b of a text of which it sees data, from low on."""
+
+    def __init__(self, data: bytes, low: int, a: int, b: int, path: str = MODEL):
+        self.data, self.low, self.a, self.b, self.p = data, low, a, b, pieces(path)
+        heads = _units(np.frombuffer(data, np.uint8), np.array([0]))
+        self.heads = np.append(heads, len(data)) + low
+        self.into, self.out = self.states(a), self.states(b)
+
+    def states(self, cut: int) -> list[Span | None]:
+        """The pieces that cover the byte before a cut; None at the start of a unit, where nothing goes on."""
+        k = int(np.searchsorted(self.heads, cut, "right")) - 1
+        if self.heads[k] == cut:
+            return [None]
+        first, last = int(self.heads[k]), int(self.heads[k + 1])
+        found = []
+        for start in range(max(first, cut - self.p.reach), cut):
+            if self.data[start - self.low] & 0xC0 != 0x80:
+                found += [x for x in self.p.at(self.data, start - self.low, last - self.low, self.low) if x.end >= cut]
+        return found
+
+    def _bytes(self, x: Span) -> bytes:
+        return self.data[x.start - self.low : x.end - self.low]
+
+    def ways(self, state: Span | None):
+        """The states at the end that a state at the start leads to, each with its score and last step; and for each step the one before, with the ids of whole units between.
+
+        A step is a span, or the start of a unit as its place."""
+        at = self.a if state is None else state.end
+        heads = set(self.heads.tolist())
+        ends: dict[Span | None, tuple[float, Span | int]] = {}
+        back: dict[Span | int, tuple[Span | int, list[int]]] = {}
+        todo: dict[int, dict[Span | int, float]] = {at: {self.a if state is None else state: 0.0}}
+        while todo:
+            at = min(todo)
+            steps = todo.pop(at)
+            if at > self.b or at == self.b and at not in heads:
+                ends |= {step: (score, step) for step, score in steps.items()}
+                continue
+            if at in heads:  # only one way comes to the start of a unit
+                step, score = max(steps.items(), key=lambda x: x[1])
+                k = last = int(np.searchsorted(self.heads, at))
+                while last + 1 < len(self.heads) and self.heads[last + 1] <= self.b:
+                    last += 1
+                cuts = self.heads[k : last + 1] - self.low
+                ids = [i for unit in _encode_units([self.data[x:y] for x, y in itertools.pairwise(cuts)], self.p.path) for i in unit]
+                score += float(self.p.scores[ids].sum())
+                at = int(self.heads[last])
+                if at != step:
+                    back[at] = (step, ids)
+                steps = {at: score}
+                if at >= self.b:
+                    ends[None] = (score, at)
+                    continue
+            stop = int(self.heads[np.searchsorted(self.heads, at, "right")]) - self.low
+            for x in self.p.at(self.data, at - self.low, stop, self.low):
+                fit = [(score, step) for step, score in steps.items() if isinstance(step, int) or self.p.keep_apart(self._bytes(step), self._bytes(x), step.ids + x.ids)]
+                if fit:
+                    score, step = max(fit, key=lambda y: y[0])
+                    back[x] = (step, [])
+                    todo.setdefault(x.end, {})[x] = score + self.p.score(x)
+        return ends, back
+
+    def transfer(self) -> np.ndarray:
+        """The max-plus matrix from states at the chunk's start to those at its end."""
+        out = np.full((len(self.into), len(self.out)), _NONE)
+        for i, state in enumerate(self.into):
+            for end, (score, _) in self.ways(state)[0].items():
+                out[i, self.out.index(end)] = score
+        return out
+
+    def backtrace(self, start: int, stop: int) -> list[int]:
+        """Ids of the best way from one state to the other, without those of the first, which the chunk before has."""
+        state, parts = self.into[start], []
+        ends, back = self.ways(state)
+        step = ends[self.out[stop]][1]
+        while step in back:
+            if not isinstance(step, int):
+                parts.append(list(step.ids))
+            step, between = back[step]
+            parts.append(between)
+        return [i for part in parts[::-1] for i in part]
 
 
 def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -304,58 +416,48 @@ def boundary_states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def backtrace(lattice, a: int, b: int, width: int, start: int, end: int) -> list[int]:
-    """Ids of the best way from one state to the other."""
-    best = best_scores(lattice, a, b, width)[:, start]
-    into: dict[int, list] = {}
-    for s, e, i, score in lattice:
-        if a <= s < b:
-            into.setdefault(e, []).append((s, i, score))
-    place, ids = b + end, []
-    while place > a + start:
-        s, i = next((s, i) for s, i, score in into[place] if best[s - a] + score == best[place - a])
-        ids.append(i)
-        place = s
-    return ids[::-1]
-
-
 def _giant(docs: DataFrame, path: str, cut: int) -> DataFrame:
-    width = states(path)
     one = docs.groupBy("doc_id", "text").agg(F.count("*").alias("n")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    chunk = "uid bigint, doc_id bigint, n bigint, no int, a int, b int, low int, units binary"
+    one = common.stored(one.withColumn("uid", F.struct("uid", F.crc32(F.col("text").cast("binary")).alias("crc")).cast("string")), "giants")
+    chunk = "uid string, no int, a int, b int, low int, seen binary"
 
-    def pieces(batches):
+    def cuts(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 data = b" " + row["text"].encode()
-                found = cut_points(data, cut)
-                yield pa.RecordBatch.from_pylist(
-                    [{"uid": row["uid"], "doc_id": row["doc_id"], "n": row["n"], "no": no, "a": a, "b": b, "low": low, "units": data[low:high]} for no, (a, b, low, high) in enumerate(found)],
-                    pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("no", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("low", pa.int32()), ("units", pa.binary())]),
-                )
+                for part in itertools.batched(enumerate(cut_points(data, cut, path)), 64):
+                    yield pa.RecordBatch.from_pylist(
+                        [{"uid": row["uid"], "no": no, "a": a, "b": b, "low": low, "seen": data[low:high]} for no, (a, b, low, high) in part],
+                        pa.schema([("uid", pa.string()), ("no", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("low", pa.int32()), ("seen", pa.binary())]),
+                    )
+
+    spread = common.shuffles(docs.sparkSession)
+    chunks = common.stored(one.select("uid", "text").mapInArrow(common.tidied(cuts), chunk).repartition(spread, "uid", "no"), "chunks")
 
-    chunks = common.stored(one.mapInArrow(common.tidied(pieces), chunk).repartition(common.shuffles(docs.sparkSession), "uid", "no"), "chunks")
+    def made(row) -> Chunk:
+        return Chunk(row["seen"], row["low"], row["a"], row["b"], path)
 
     def matrices(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            made = [transfer(edges(r["units"], r["low"], path), r["a"], r["b"], width).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("no"), pa.array(made, pa.binary())], ["uid", "no", "matrix"])
+            found = [made(r).transfer() for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("uid"), batch.column("no"), pa.array([len(m) for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())], ["uid", "no", "states", "matrix"]
+            )
 
     def between(table: pa.Table) -> pa.Table:
         table = table.sort_by("no")
-        found = boundary_states([np.frombuffer(x).reshape(width, width) for x in table.column("matrix").to_pylist()])
+        found = boundary_states([np.frombuffer(x).reshape(n, -1) for n, x in zip(table.column("states").to_pylist(), table.column("matrix").to_pylist())])
         return pa.table({"uid": table.column("uid"), "no": table.column("no"), "start": pa.array([s for s, _ in found], pa.int32()), "stop": pa.array([e for _, e in found], pa.int32())})
 
-    at = chunks.mapInArrow(common.tidied(matrices), "uid bigint, no int, matrix binary").groupBy("uid").applyInArrow(between, "uid bigint, no int, start int, stop int")
+    at = chunks.mapInArrow(common.tidied(matrices), "uid string, no int, states int, matrix binary").groupBy("uid").applyInArrow(between, "uid string, no int, start int, stop int")
 
     def traced(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            made = [backtrace(edges(r["units"], r["low"], path), r["a"], r["b"], width, r["start"], r["stop"]) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("no"), pa.array(made, pa.list_(pa.int32()))], ["uid", "no", "ids"])
+            found = [made(r).backtrace(r["start"], r["stop"]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("no"), pa.array(found, pa.list_(pa.int32()))], ["uid", "no", "ids"])
 
-    ids = chunks.join(at, ["uid", "no"]).mapInArrow(common.tidied(traced), "uid bigint, no int, ids array<int>")
+    # a given number of partitions stays, however small the shuffle: the work is in the backtraces
+    ids = chunks.join(at, ["uid", "no"]).repartition(spread, "uid", "no").mapInArrow(common.tidied(traced), "uid string, no int, ids array<int>")
     whole = ids.groupBy("uid").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
     both = one.join(whole, "uid").select("doc_id", "text", "n", "ids")
 

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import numpy as np
 import pytest
 
@@ -33,26 +36,57 @@ def test_whole_table(spark):
             assert op.decode(r.ids) == text[r.doc_id]
 
 
+def scanned(text, cut):
+    """Ids by the scan alone, and the chunks with their states."""
+    data = b" " + text.encode()
+    chunks = [op.Chunk(data[low:high], low, a, b) for a, b, low, high in op.cut_points(data, cut)]
+    found = op.boundary_states([c.transfer() for c in chunks])
+    return [i for c, (s, e) in zip(chunks, found) for i in c.backtrace(s, e)], chunks, found
+
+
+def test_scan_gives_the_librarys_ids_wherever_the_cuts_fall():
+    r = random.Random(9)
+    letters = "etaoinshrdlu éüñ漢字ß  .,'\n0123"
+    texts = [t for t in TEXTS if t and "▁" not in t] + ["漢字" * 40, "internationalization" * 5, "私は日本語を話します。" * 5, "abab" * 30]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(1, 120))) for _ in range(100)]
+    for text in texts:
+        for cut in (3, 5, 16):
+            assert scanned(text, cut)[0] == expected(text)[0], (text, cut)
+
+
+def test_matrices_decide():
+    """Cuts within units have several states on either side, and only the scan tells which of them are right."""
+    text = "internationalization" * 20
+    ids, chunks, found = scanned(text, 37)
+    assert ids == expected(text)[0] and sum(len(c.into) > 1 for c in chunks) > 5
+    assert any(s for s, _ in found)
+    made = [c.transfer() for c in chunks]
+    assert any((~np.isfinite(m)).any() for m in made)
+    # without what lies before and after a chunk, its states are open
+    alone = [int(np.isfinite(m).any(1).sum()) for m in made]
+    assert max(alone) > 1
+
+
 def test_scan_finds_the_best_way():
+    """Against all ways through random matrices of changing sizes."""
     rng = np.random.default_rng(3)
-    width = 4
     for _ in range(30):
-        n = 40
-        lattice = sorted((s, s + k, int(rng.integers(1000)), float(-rng.integers(1, 50))) for s in range(n) for k in range(1, width + 1) if s + k <= n and (k == 1 or rng.random() < 0.4))
-        whole = op.best_scores(lattice, 0, n, width)
-        cuts = [0, 9, 17, 30, 40]
-        spans = list(zip(cuts, cuts[1:]))
-        found = op.boundary_states([op.transfer(lattice, a, b, width) for a, b in spans])
-        ids = [i for (a, b), (s, e) in zip(spans, found) for i in op.backtrace(lattice, a, b, width, s, e)]
-        one = op.backtrace(lattice, 0, n, width, 0, 0)
-        score = {(s, i): w for s, _, i, w in lattice}
-        at, total = 0, 0.0
-        length = {(s, i): e - s for s, e, i, _ in lattice}
-        for i in ids:
-            total += score[at, i]
-            at += length[at, i]
-        assert at == n and total == whole[n, 0]
-        assert len(one) > 0
+        sizes = [1, *rng.integers(1, 5, 5), 1]
+        made = [np.where(rng.random((x, y)) < 0.3, -np.inf, -rng.integers(1, 50, (x, y)).astype(float)) for x, y in itertools.pairwise(sizes)]
+        total = lambda way: sum(m[a, b] for m, a, b in zip(made, way, way[1:]))
+        best = max(map(total, itertools.product(*(range(n) for n in sizes))))
+        if np.isfinite(best):
+            states = op.boundary_states(made)
+            assert all(x[1] == y[0] for x, y in itertools.pairwise(states))
+            assert sum(m[s] for m, s in zip(made, states)) == best
+
+
+def test_long_units_are_cut(spark):
+    """A text over the default limit, without any space, is spread over chunks."""
+    rows = [(1, "漢字かな交じり文" * 4000, "x", 1), (2, "x1" * 50_000, "x", 1), (2, "x1" * 50_000, "x", 1)]
+    got = op.encode(spark.createDataFrame(rows, ROWS)).collect()
+    assert sorted((r.doc_id, r.ids, r.exact) for r in got) == sorted((i, *expected(t)) for i, t, *_ in rows)
+    assert all(len(op.cut_points(t.encode(), op.CUT_BYTES)) > 4 for _, t, *_ in rows)
 
 
 def test_empty_table(spark):
