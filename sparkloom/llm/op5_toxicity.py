@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict[str |
     for r in sample.groupBy("lang", "toxic").agg(F.count("*").alias("n")).collect():
         size.setdefault(r.lang, {})[r.toxic] = r.n
     near = F.transform("w", lambda x, i: F.struct(x.alias("w"), F.xxhash64(F.get("w", i - 1), F.get("w", i + 1)).alias("near")))
-    words = sample.select("doc_id", "lang", "toxic", F.explode(F.array_distinct(near)).alias("x")).select("doc_id", "lang", "toxic", "x.*")
+    words = sample.select("doc_id", "lang", "toxic", F.explode(near).alias("x")).select("doc_id", "lang", "toxic", "x.*")
     by_doc = words.groupBy("lang", "w", "doc_id").agg(F.max("toxic").alias("toxic"), F.min("near").alias("near"))
     found = by_doc.groupBy("lang", "w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("near"))).alias("places"))
     out: dict = {}
