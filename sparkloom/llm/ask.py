@@ -15,7 +15,6 @@ The second scan must meet the rows of the first in the same partitions:
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +173,7 @@ def unpack(data: bytes, kind: np.dtype) -> np.ndarray:
 def post(replies: DataFrame, name: str) -> str:
     """Writes answers to the shared folder by scan partition; returns the place."""
     spark = replies.sparkSession
-    path = f"{common.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = common.folder(spark, name)
     replies.repartition(common.shuffles(spark), "part").write.partitionBy("part").parquet(path)
     return path
 

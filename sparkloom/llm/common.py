@@ -10,7 +10,9 @@ Nulls: a null text counts as an empty one everywhere in this subpackage.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -71,7 +73,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session without that setting gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -87,10 +89,35 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Folders written within scratch blocks, the innermost last.
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Folders of the shared folder that are taken within the block are deleted at its end; what is read later is stored as kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _scratch.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
+def folder(spark: SparkSession, name: str, kept: bool = False) -> str:
+    """A new folder of the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch and not kept:
+        _scratch[-1].append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """df written to the shared folder as Parquet and read again: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name, kept)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,16 +7,19 @@ first. A digit is a hash of consecutive words of the suffix; a pass sends the
 digit of each suffix still in play to its bucket, where equal digits meet, and a
 suffix that is alone with its digit is out of play. The first digit (short, enough
 to part nearly all suffixes) covers the first ``HEAD`` words, the last one (64
-bits) all WINDOW of them. Groups that are equal through the last digit are exactly
-the windows that occur more than once in the table, in different documents or in
-one; their order among each other isn't needed and never materialised.
+bits) all WINDOW of them; suffixes that agree in it are compared by 32 bits of another
+hash before they count as equal. Groups that are equal through the last digit are the
+windows that occur more than once in the table, in different documents or in one; their
+order among each other isn't needed and never materialised. Two different windows are
+taken for equal with a chance of 2**-96 a pair.
 
 Overlapping repeated windows of a document are merged into passages. Digits travel
 as sorted differences, answers as bits (see ``ask``); texts are scanned again for
 each pass instead of being moved.
 
 Defined results: documents under WINDOW words (null and empty ones too) have no
-passage. Repeated rows repeat each other wholly. Extra columns don't matter.
+passage. Repeated rows repeat each other wholly. Long texts are read whole, an empty
+table has no passage, and extra columns don't matter. A null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from sparkloom.llm import ask, common
 
 WINDOW = 50
 HEAD = 20
+_OTHER = 0xC2B2AE3D27D4EB4F
+_EXTRA = np.dtype([("mark", "<u4"), ("many", "?")])
 PASSAGE = "doc_id bigint, first_word int, words int, first_byte int, bytes int"
 
 
@@ -52,64 +57,91 @@ class Suffixes:
         n = max(0, len(self.h) - window + 1)
         self.start = np.flatnonzero(self.row[:n] == self.row[window - 1 :][:n])
 
+    def mark(self, words: int, at: np.ndarray) -> np.ndarray:
+        """The hash that verifies the last digit."""
+        return (common.window_hash(self.h, words, _OTHER)[at] >> np.uint64(32)).astype(np.uint32)
+
     def digit(self, words: int, bits: int, at: np.ndarray) -> np.ndarray:
         """The digit of so many words and bits of the suffixes from the given words on."""
         return common.window_hash(self.h, words)[at] >> np.uint64(64 - bits)
 
 
-def _send(digit: np.ndarray):
-    """Distinct digits, and whether the chunk itself has each more than once."""
-    digit = np.sort(digit)
-    new = np.ones(len(digit), bool)
-    new[1:] = digit[1:] != digit[:-1]
-    return digit[new], np.diff(np.append(np.flatnonzero(new), len(digit))) > 1
+def _groups(digit: np.ndarray, mark: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The order by digit and mark, and where a group of equal ones begins in it."""
+    order = np.argsort(digit)
+    k = digit[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    if mark is not None:
+        m = mark[order]
+        if (~new[1:] & (m[1:] != m[:-1])).any():
+            order = np.lexsort((mark, digit))
+            k, m = digit[order], mark[order]
+            new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+    return order, new
+
+
+def _distinct(digit: np.ndarray, mark: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct digits (with marks) in their order, and whether the chunk itself has each more than once."""
+    order, new = _groups(digit, mark)
+    return order[new], np.diff(np.append(np.flatnonzero(new), len(digit))) > 1
+
+
+def _met_pairs(keys: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Whether each digit occurs with the same mark elsewhere in keys too, or more than once in its chunk."""
+    order, new = _groups(keys, extra["mark"])
+    group = np.cumsum(new) - 1
+    found = (np.bincount(group) > 1) | (np.bincount(group, weights=extra["many"][order]) > 0)
+    out = np.empty(len(keys), bool)
+    out[order] = found[group]
+    return out
 
 
-def _met(digit: np.ndarray, values: np.ndarray) -> np.ndarray:
+def _met(values: np.ndarray, digit: np.ndarray, mark: np.ndarray | None = None) -> np.ndarray:
     """Which suffixes have a digit that the bucket has seen twice."""
-    keys = np.sort(digit)
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    keys = keys[new]
-    if len(keys) != len(values):
+    order, new = _groups(digit, mark)
+    group = np.cumsum(new) - 1
+    if len(values) != (group[-1] + 1 if len(group) else 0):
         raise ValueError("the documents changed between two scans")
-    keys = keys[values]
-    if not len(keys):
-        return np.zeros(len(digit), bool)
-    at = np.searchsorted(keys, digit)
-    at[at == len(keys)] = 0
-    return keys[at] == digit
+    out = np.zeros(len(digit), bool)
+    out[order] = values[group]
+    return out
 
 
 def passages(docs: DataFrame, window: int = WINDOW, head: int = HEAD) -> DataFrame:
     """The repeated passages: place and length, in words (from 0) and bytes of the text."""
     head = min(head, window)
     docs = ask.steady(docs.select("doc_id", "text"))
-    buckets = common.shuffles(docs.sparkSession)
-    short = ask.digit_bits(ask.volume(docs))
+    volume = ask.volume(docs)
+    buckets, short = ask.buckets(docs.sparkSession, volume), ask.digit_bits(volume)
 
     def first_digit(part, row, held):
         s = Suffixes(held, window)
-        return _send(s.digit(head, short, s.start))
+        digit = s.digit(head, short, s.start)
+        one, many = _distinct(digit)
+        return digit[one], many
 
     one = ask.post(ask.answered(ask.requests(docs.select("text"), first_digit, buckets, short), ask.seen_twice, np.dtype(bool)), "digit-one")
 
     def survivors(held, values):
         s = Suffixes(held, window)
-        return s, s.start[_met(s.digit(head, short, s.start), values)]
+        return s, s.start[_met(values, s.digit(head, short, s.start))]
 
     def last_digit(part, row, held, values):
         s, at = survivors(held, values)
-        found, many = _send(s.digit(window, 64, at))
-        yield from ask.request_rows(part, row, found, many, buckets)
+        digit, mark = s.digit(window, 64, at), s.mark(window, at)
+        one, many = _distinct(digit, mark)
+        extra = np.zeros(len(one), _EXTRA)
+        extra["mark"], extra["many"] = mark[one], many
+        yield from ask.request_rows(part, row, digit[one], extra, buckets)
 
     asked = ask.told(docs.select("text"), one, bool, last_digit, ask.REQUEST)
-    two = ask.post(ask.answered(asked, ask.seen_twice, np.dtype(bool)), "digit-two")
+    two = ask.post(ask.answered(asked, _met_pairs, _EXTRA), "digit-two")
     place = docs.select("doc_id", "text")
 
     def run(part, row, held, values, second):
         s, at = survivors(held, values)
-        at = at[_met(s.digit(window, 64, at), second)]
+        at = at[_met(second, s.digit(window, 64, at), s.mark(window, at))]
         if not len(at):
             return
         # windows that overlap or touch within a document make one passage

@@ -362,20 +362,21 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, links: bool = True, ho
     """(key, doc_id, h, root, copies, links) of each row that has copies or links; docs must be steady.
 
     copies counts the rows of the same text, links the different texts that are similar."""
-    every = rows(docs)
-    found = nodes(docs, every, threshold, hot=hot)
-    members = linked(found, threshold, hot)
-    if links:
-        kinds = members.where("key = kind").select("key", "root", "texts", "size")
-        counted = _linked_texts(kinds, found, threshold, block).withColumnRenamed("key", "kind")
-        members = members.join(counted.hint("merge"), "kind", "left").withColumn("links", F.coalesce("linked", F.lit(0)) + F.col("texts") - 1)
-    else:
-        members = members.withColumn("links", F.lit(None).cast("bigint"))
-    grouped = members.groupBy("root").agg(F.count("*").alias("nodes"))
-    members = members.join(grouped, "root").where("nodes > 1").select(F.col("key").alias("first"), "root", "links")
-    out = every.join(members.hint("merge"), "first", "left").where("root is not null or copies > 1")
-    out = out.select("key", "doc_id", "h", F.coalesce("root", "first").alias("root"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return common.stored(out, "grouped")
+    with common.scratch(docs.sparkSession):
+        every = rows(docs)
+        found = nodes(docs, every, threshold, hot=hot)
+        members = linked(found, threshold, hot)
+        if links:
+            kinds = members.where("key = kind").select("key", "root", "texts", "size")
+            counted = _linked_texts(kinds, found, threshold, block).withColumnRenamed("key", "kind")
+            members = members.join(counted.hint("merge"), "kind", "left").withColumn("links", F.coalesce("linked", F.lit(0)) + F.col("texts") - 1)
+        else:
+            members = members.withColumn("links", F.lit(None).cast("bigint"))
+        grouped = members.groupBy("root").agg(F.count("*").alias("nodes"))
+        members = members.join(grouped, "root").where("nodes > 1").select(F.col("key").alias("first"), "root", "links")
+        out = every.join(members.hint("merge"), "first", "left").where("root is not null or copies > 1")
+        out = out.select("key", "doc_id", "h", F.coalesce("root", "first").alias("root"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+        return common.stored(out, "grouped", kept=True)
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

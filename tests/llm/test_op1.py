@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from sparkloom.llm import op1_suffixes as op
@@ -59,3 +60,18 @@ def test_small_windows(spark, window, head):
 
 def test_empty_table(spark):
     assert got(spark.createDataFrame([], ROWS)) == []
+
+
+def test_equal_digits_of_different_windows_do_not_meet():
+    keys = np.array([5, 5, 7, 7, 9, 9], np.uint64)
+    extra = np.array([(1, False), (2, False), (3, False), (3, False), (4, True), (5, False)], op._EXTRA)
+    assert op._met_pairs(keys, extra).tolist() == [False, False, True, True, True, False]
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i * 7919 % 100_003}" for i in range(150_000)]
+    rows = [(1, " ".join(words)), (2, "other " + " ".join(words[140_000:140_060]))]
+    got = {tuple(r)[:3] for r in op.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {x for x in got if x[0] == 2} == {(2, 1, 60)}
+    # the words come again after 100,003 of them
+    assert {x for x in got if x[0] == 1} == {(1, 0, 49_997), (1, 100_003, 49_997)}

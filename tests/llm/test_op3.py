@@ -39,11 +39,13 @@ def brute(texts, threshold=op.THRESHOLD):
 
 
 def brute_links(texts, threshold=op.THRESHOLD):
-    """Of each row: the number of rows of its text, and of different texts that are similar."""
-    sets = [gram_set(t) for t in texts]
-    other = {t: s for t, s in zip(texts, sets) if s}
-    linked = {t: sum(u != t and len(s & z) >= threshold * len(s | z) for u, z in other.items()) for t, s in other.items()}
-    return [(texts.count(t), linked[t]) if s else (0, 0) for t, s in zip(texts, sets)]
+    """Of each row in a group: the number of rows of its text, and of different texts that are similar."""
+    out = {}
+    for group in brute(texts, threshold):
+        sets = {texts[i]: gram_set(texts[i]) for i in group}
+        linked = {t: sum(u != t and len(s & z) >= threshold * len(s | z) for u, z in sets.items()) for t, s in sets.items()}
+        out |= {i: (texts.count(texts[i]), linked[texts[i]]) for i in group}
+    return out
 
 
 def test_query_matches_brute_force(spark):
