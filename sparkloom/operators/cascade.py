@@ -47,6 +47,7 @@ SCHEME_URL = r"(?:https?|ftps?)://[^\s<>\"“”]*[^\s<>\"“”'’.,;:!?()\[\]
 EMAIL = _c(r"(?<![\p{L}\p{M}\p{N}.])[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*@(?:[\p{L}\p{M}\p{N}-]+\.)+[\p{L}\p{M}]{2,}(?![\p{L}\p{N}])")
 _SUFFIXES = "aspx|bmp|csv|docx?|eps|gif|gz|html?|ico|jpe?g|json|js|md|mp[34]|mov|odt|pdf|php|png|pptx?|ps|py|rtf|svg|tar|tex|tiff?|tsv|txt|wav|xlsx?|xml|zip"
 FILENAME = _c(rf"(?i)(?<![\p{{L}}\p{{M}}\p{{N}}_./-])(?:[\p{{L}}\p{{M}}\p{{N}}_.~-]+/)*[\p{{L}}\p{{M}}\p{{N}}_-][\p{{L}}\p{{M}}\p{{N}}_.-]*\.(?:{_SUFFIXES})(?![\p{{L}}\p{{M}}\p{{N}}])")
+SUFFIX = _c(rf"(?i)\.(?:{_SUFFIXES})(?![\p{{L}}\p{{M}}\p{{N}}])")
 PATH = _c(r"(?<![\p{L}\p{N}.<])/(?:bin|etc|home\w*|opt|root|sbin|tmp|usr|var|wp-content)(?:/[\w.~-]*[\w~-])+/?")
 SYMBOLS = _c(r"[←-⯿\U0001F300-\U0001F64F](?:[︀-️]?[←-⯿\U0001F300-\U0001F64F])*[︀-️]?")
 HASHTAG = _c(r"(?:^|(?<=[ .,;()\[\]{}']))[#@][\p{L}\p{M}\p{N}_‌]+(?![.?]?[\p{L}\p{N}])")
@@ -67,12 +68,17 @@ DASH = _c(r"(?<=(?:\p{L}\p{M}*){2}|[\p{Nd}!?’])[-‐‑–−]+(?=(?:\p{L}\p{M
 LEADING_INTEGER = _c(r"(?<![\p{L}\p{M}\p{N}.,/-])\p{Nd}+(?=[/\p{L}])")
 IPA_LETTERS = frozenset("ɐɑɒɓʙβɔɕçɗɖðʤəɘɚɛɜɝɞɟʄɡɠɢʛɦɧħɥʜɨɪʝɭɬɫɮʟɱɯɰŋɳɲɴøɵɸθœɶʘɹɺɾɻʀʁɽʂʃʈʧʉʊʋⱱʌɣɤʍχʎʏʑʐʒʔʡʕʢǀǁǂǃ")
 IPA_MARKS = frozenset("ˈˌːˑˀˤʰʲʷⁿˡ͡‿.ˑ")
+_DOT_LETTER, _NUMERAL, _DECIMAL = _c(r"\.\p{L}"), _c(r"\p{N}"), _c(r"\p{Nd}")
 _SPAN_WHITE = re.compile(r"\S+")
 _LETTER, _DIGIT, _SYM, _PUNCT = _c(r"\p{L}"), _c(r"\p{N}"), _c(r"[\p{S}←-⯿\U0001F300-\U0001FAFF]"), _c(r"\p{P}")
 #: Lines with one of these may hold a construct that reaches across white space.
 _ACROSS = re.compile(r"[<\[/]|\p{Nd}\s|\p{Lu}\.\s|\p{Greek}", flags=re.V1)
 
 
+def _dashed(s: str) -> bool:
+    return "-" in s or not s.isascii() and ("–" in s or "‐" in s or "‑" in s or "—" in s or "−" in s)
+
+
 def basic_type(surf: str) -> str:
     for pattern, name in ((_LETTER, "WORD-B"), (_DIGIT, "NUMBER-B"), (_SYM, "SYMBOL-B"), (_PUNCT, "PUNCT-B")):
         if pattern.search(surf):
@@ -145,7 +151,7 @@ class Head(NamedTuple):
 
 
 def _head(r: rules.Rule) -> Head:
-    before = lambda p: _c(f"(?:{p})$") if p else None
+    before = lambda p: _c(f"(?<={p})") if p else None  # read backwards from the token, as far as it takes
     after = lambda p: _c(p) if p else None
     return Head(
         r.kind, r.head, tuple(r.get("target").split()), r.get("char-split"), r.get("sem-class") or None, r.get("tag"), r.get("side"), r.true("group"), r.true("case-sensitive"),
@@ -168,9 +174,9 @@ class Dictionary:
             self.prefixes.update(key[:i] for i in range(1, len(key) + 1))
         self.first = {m.group() for k in self.by if (m := self.STARTS.match(k))}
 
-    def starts(self, low: str) -> list[int]:
-        """Places at which a head may start."""
-        return [m.start() for m in self.STARTS.finditer(low) if m.group() in self.first]
+    def starts(self, low: str):
+        """Places at which a head may start, one after the other."""
+        return (m.start() for m in self.STARTS.finditer(low) if m.group() in self.first)
 
     def ends(self, low: str, at: int) -> list[int]:
         """Ends of heads that start at a place, the longest first."""
@@ -211,7 +217,7 @@ class Tokenizer:
         self.priority = Dictionary([h for h, r in pairs if first(h, r)])
         self.lexical = Dictionary([h for h, r in pairs if h.kind == "lexical" and not first(h, r)])
         self.punct = Dictionary([h for h, _ in pairs if h.kind == "punct-split"])
-        self.punct_starts = _c("[" + "".join(re.escape(c) for c in sorted({k[0] for k in self.punct.by})) + "]")
+        self.punct_starts = _c("[" + "".join(re.escape(c) for c in sorted({k[0] for k in self.punct.by})) + "]" if self.punct.by else "(?!)")
         self.not_symbols = {h.head for h, _ in pairs if h.kind == "non-symbol"}
         self.triggers = tuple(h.head.lower() for h, _ in pairs if h.kind == "ipa-trigger-left") or ("pronounced", "pronunciation", "ipa")
         self.across = tuple(sorted({k for d in (self.priority, self.lexical) for k in d.by if " " in k}))
@@ -224,13 +230,14 @@ class Tokenizer:
         self.mark_by = {r.head: r for r in self.marks}
         self.number = NUMBER[self.lang in INDIC]
         self.part = functools.lru_cache(1 << 16)(self._line)
+        # what a segment must hold for a step to find something in it: cheap tests, that cost far less than a search
         self.steps = [
-            (lambda s: "<" in s or "[" in s, self._xml), (lambda s: "://" in s or "." in s, self._pattern(self.url, "URL")), (lambda s: "@" in s, self._pattern(EMAIL, "EMAIL-ADDRESS")),
-            (lambda s: "." in s or "/" in s, self._file), (lambda s: SYMBOLS.search(s) is not None, self._symbols), (lambda s: "#" in s or "@" in s, self._hashtag),
-            (lambda s: "/" in s or "[" in s, self._ipa), (lambda s: any(c in s for c in "-‐‑–") or self.phonetic is not None, self._product), (lambda s: True, self._dictionary),
-            (lambda s: "." in s, self._pattern(INITIAL, "ABBREV-I")), (lambda s: "." in s, self._pattern(PERIODS, "ABBREV-PP")), (lambda s: any(c in s for c in "'’᾽"), self._clitic),
-            (lambda s: re.search(r"\p{N}", s) is not None, self._numbers), (lambda s: True, self._lexical), (lambda s: "-" in s, self._pattern(NAME, "LEXICAL-N")),
-            (lambda s: re.search(r"[\p{Pd}−@]", s) is not None, self._mt_punct), (lambda s: re.search(r"[^\p{L}\p{M}\s]", s) is not None, self._punct), (lambda s: re.search(r"\p{Nd}", s) is not None, self._post),
+            (lambda s: "<" in s or "[" in s, self._xml), (lambda s: "." in s and _DOT_LETTER.search(s) is not None or "://" in s, self._pattern(self.url, "URL")), (lambda s: "@" in s, self._pattern(EMAIL, "EMAIL-ADDRESS")),
+            (lambda s: "." in s or "/" in s, self._file), (lambda s: not s.isascii() and SYMBOLS.search(s) is not None, self._symbols), (lambda s: "#" in s or "@" in s, self._hashtag),
+            (lambda s: "/" in s or "[" in s, self._ipa), (lambda s: self.phonetic is not None or _dashed(s), self._product), (lambda s: True, self._dictionary),
+            (lambda s: "." in s, self._pattern(INITIAL, "ABBREV-I")), (lambda s: s.count(".") > 1, self._pattern(PERIODS, "ABBREV-PP")), (lambda s: "'" in s or "’" in s or "᾽" in s, self._clitic),
+            (lambda s: _NUMERAL.search(s) is not None, self._numbers), (lambda s: True, self._lexical), (lambda s: "-" in s, self._pattern(NAME, "LEXICAL-N")),
+            (lambda s: "@" in s or _dashed(s), self._mt_punct), (lambda s: not s.isalnum(), self._punct), (lambda s: _DECIMAL.search(s) is not None, self._post),
         ]
 
     @staticmethod
@@ -260,10 +267,10 @@ class Tokenizer:
         return [Token(a + s, a + e, kind, None, seg[s:e])], SAME
 
     def _xml(self, seg, a, line):
-        return self._first(seg, a, ((XML, "XML"), (BBCODE, "BBCode")))
+        return self._first(seg, a, [*([(XML, "XML")] if "<" in seg else []), *([(BBCODE, "BBCode")] if "[" in seg else [])])
 
     def _file(self, seg, a, line):
-        return self._first(seg, a, ((FILENAME, "FILENAME"), (PATH, "FILENAME")))
+        return self._first(seg, a, [*([(FILENAME, "FILENAME")] if "." in seg and SUFFIX.search(seg) else []), *([(PATH, "FILENAME")] if "/" in seg else [])])
 
     def _symbols(self, seg, a, line):
         out = [Token(a + m.start(), a + m.end(), "SYMBOL", None, m.group()) for m in SYMBOLS.finditer(seg) if m.group() not in self.not_symbols]
@@ -301,14 +308,14 @@ class Tokenizer:
         return (out, NEXT) if out else None
 
     def _product(self, seg, a, line):
-        options = [(PRODUCT, "ABBREV-P")] + ([(self.phonetic, "ABBREV-IP")] if self.phonetic else [])
+        options = ([(PRODUCT, "ABBREV-P")] if _dashed(seg) else []) + ([(self.phonetic, "ABBREV-IP")] if self.phonetic else [])
         return self._first(seg, a, options)
 
     def _fits(self, h: Head, line: str, s: int, e: int) -> bool:
         """The rule's own conditions, on the whole line."""
         if h.exact and line[s : s + len(h.head)] != h.head or self.lang in h.not_langs:
             return False
-        if h.before and not h.before.search(line[max(0, s - 40) : s]) or h.not_before and h.not_before.search(line[max(0, s - 40) : s]):
+        if h.before and not h.before.match(line, s) or h.not_before and h.not_before.match(line, s):
             return False
         return not (h.after and not h.after.match(line, e) or h.not_after and h.not_after.match(line, e))
 
@@ -392,7 +399,7 @@ class Tokenizer:
         return None
 
     def _mt_punct(self, seg, a, line):
-        if m := MARKED.search(seg):
+        if "@" in seg and (m := MARKED.search(seg)):
             return [Token(a + m.start(), a + m.end(), "PUNCT-MT", None, m.group())], SAME
         return None if (m := DASH.search(seg)) is None else ([Token(a + m.start(), a + m.end(), "DASH", None, m.group())], SAME)
 
@@ -418,7 +425,7 @@ class Tokenizer:
     # The walk.
 
     def _line(self, line: str) -> tuple[Token, ...]:
-        steps = [f for gate, f in self.steps if gate(line)]
+        steps = [(gate, f) for gate, f in self.steps if gate(line)]
         out: list[Token] = []
         todo = [(0, len(line), 0)]
         while todo:
@@ -426,12 +433,14 @@ class Tokenizer:
             seg = line[a:b]
             if not seg or seg.isspace():
                 continue
-            if k == len(steps):
-                out += [Token(a + m.start(), a + m.end(), basic_type(m.group()), None, m.group()) for m in _SPAN_WHITE.finditer(seg)]
-                continue
-            found = steps[k](seg, a, line)
+            found = None
+            while k < len(steps):
+                gate, step = steps[k]
+                if gate(seg) and (found := step(seg, a, line)) is not None:
+                    break
+                k += 1
             if found is None:
-                todo.append((a, b, k + 1))
+                out += [Token(a + m.start(), a + m.end(), basic_type(m.group()), None, m.group()) for m in _SPAN_WHITE.finditer(seg)]
                 continue
             tokens, mode = found
             out += tokens
@@ -469,13 +478,18 @@ class Tokenizer:
         def score(near: str, far: str) -> int:
             return 10 if near.isalnum() else 5 if any(c.isalnum() for c in far) else 0
 
-        left, right = re.search(r"\S*$", line[:s]).group(), re.match(r"\S*", line[e:]).group()
+        i, j = s, e
+        while i > 0 and not line[i - 1].isspace():
+            i -= 1
+        while j < len(line) and not line[j].isspace():
+            j += 1
+        left, right = line[i:s], line[e:j]
         a, b = score(left[-1:], left), score(right[:1], right)
         return None if a == b else b > a
 
     def tokens(self, line: str) -> list[Token]:
         low = line.lower()
-        if _ACROSS.search(line) or any(h in low for h in self.across):
+        if _ACROSS.search(line) or any(h in low for h in self.across) or self.phonetic is not None and self.phonetic.search(line):
             return list(self._line(line))
         out, at, heads, more = [], 0, self.priority.by, self.lexical.by
         for part in line.split():
@@ -512,20 +526,40 @@ def language_code(lang: Column) -> Column:
     return F.coalesce(pairs[lang], lang, F.lit(""))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with so many underscores behind that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes from so few files that their scan may leave some idle; Python work follows, which costs far more than the shuffle."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if "Repartition" in plan or not 0 < len(df.inputFiles()) < cores:
+        return df
+    return df.repartition(4 * cores)
+
+
 def tokenized(lines: DataFrame, folder: str = rules.HERE, simple: bool = False) -> DataFrame:
     """lines (with text and lang) with the normalized text as snt and its tokens; other columns pass through.
 
     A null text has no tokens; a null lang has the rules of all languages only. Columns named as results are replaced."""
     lines = lines.drop("snt", "tokens")
-    ready = lines.withColumn("snt", F.coalesce(normalized(F.col("text")), F.lit(""))).withColumn("__lang_code", language_code(F.col("lang")))
-    keep = [c for c in ready.columns if c != "__lang_code"]
+    code = unused("lang_code", lines)
+    ready = spread(lines.withColumn("snt", F.coalesce(normalized(F.col("text")), F.lit(""))).withColumn(code, language_code(F.col("lang"))))
+    keep = [c for c in ready.columns if c != code]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("sem_class", pa.string()), ("surf", pa.string()), ("orig_surf", pa.string())]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields if f.name in keep)
 
     def run(batches):
         for batch in batches:
             starts, ends, types, classes, surfs, originals, sizes = [], [], [], [], [], [], [0]
-            for text, lang in zip(batch.column("snt").to_pylist(), batch.column("__lang_code").to_pylist()):
+            for text, lang in zip(batch.column("snt").to_pylist(), batch.column(code).to_pylist()):
                 for t in tokenizer(lang, folder, simple).tokens(text):
                     starts.append(t.start)
                     ends.append(t.end)

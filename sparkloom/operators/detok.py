@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom import rules
-from sparkloom.operators.cascade import TAG, adjust_case, language_code
+from sparkloom.operators.cascade import TAG, adjust_case, language_code, spread, unused
 
 _SCAN = re.compile(r"@?<(?:/?[A-Za-z][^<>]*|!--.*?--)>@?|\S+")
 _OPENS, _CLOSES = re.compile(r"<[A-Za-z][^<>]*(?<!/)>$"), re.compile(r"</[A-Za-z][^<>]*>")
@@ -75,18 +75,20 @@ class Detokenizer:
 
     def string(self, text: str) -> str:
         tokens = self._folded([m.group() for m in _SCAN.finditer(text or "")])
-        out, glue = "", True
+        out: list[str] = []
+        glue, tail = True, ""  # the end of the output that rules look at: its last token, with what is attached to it
         for i, token in enumerate(tokens):
             marked = self.mark.fullmatch(token) is not None
             bare = token.strip(TAG) if marked else token
             left, right = tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""
             close = (
-                glue or marked and token.startswith(TAG) or self._attaches(self.left, bare, left, right) or _CLOSES.match(bare) is not None or _OPENS.search(out) is not None
-                or self.lang == "kaz" and re.search(r"(?<!\p{L})\p{Lu}\.$", out) is not None and re.match(r"\p{Lu}", bare) is not None
+                glue or marked and token.startswith(TAG) or self._attaches(self.left, bare, left, right) or _CLOSES.match(bare) is not None or tail[-1:] == ">" and _OPENS.search(tail) is not None
+                or self.lang == "kaz" and re.search(r"(?<!\p{L})\p{Lu}\.$", tail) is not None and re.match(r"\p{Lu}", bare) is not None
             )
-            out += bare if close else " " + bare
+            out.append(bare if close else " " + bare)
+            tail = bare if len(bare) > 2 or not close else tail[-8:] + bare
             glue = marked and token.endswith(TAG) or self._attaches(self.right, bare, left, right)
-        return out
+        return "".join(out)
 
 
 @functools.lru_cache(32)
@@ -96,13 +98,14 @@ def detokenizer(lang: str, folder: str) -> Detokenizer:
 
 def detokenized(lines: DataFrame, folder: str = rules.HERE) -> DataFrame:
     """lines (with tokenized and lang) with the restored text as detokenized; a null is an empty text."""
-    ready = lines.withColumn("_lang", language_code(F.col("lang")))
+    code = unused("lang_code", lines)
+    ready = spread(lines.withColumn(code, language_code(F.col("lang"))))
     keep = [f for f in lines.schema.fields if f.name != "detokenized"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
 
     def run(batches):
         for batch in batches:
-            made = [detokenizer(lang, folder).string(t) for t, lang in zip(batch.column("tokenized").to_pylist(), batch.column("_lang").to_pylist())]
+            made = [detokenizer(lang, folder).string(t) for t, lang in zip(batch.column("tokenized").to_pylist(), batch.column(code).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(made, pa.string())], [*(f.name for f in keep), "detokenized"])
 
     return ready.mapInArrow(run, f"{fields}, detokenized string" if fields else "detokenized string")

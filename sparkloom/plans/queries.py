@@ -62,6 +62,18 @@ def literal_words(spark: SparkSession) -> DataFrame:
     return literals(spark).select("id", F.explode(extract.words(F.col("text"))).alias("surf"))
 
 
+def every_word(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of documents, conversations and literals: surf."""
+    said = _read(spark, sf, "conversations", F.explode(extract.words(F.col("text"))).alias("surf"))
+    return words(spark, sf).select("surf").unionByName(said).unionByName(literal_words(spark).select("surf"))
+
+
+def every_line(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of documents and literals (with negative ids): doc_id, line_no, text."""
+    lit = literals(spark).select((-F.col("id")).cast("bigint").alias("doc_id"), F.lit(1).alias("line_no"), "text")
+    return lines(spark, sf).select("doc_id", "line_no", "text").unionByName(lit)
+
+
 def token_type_counts(spark, sf):
     return words(spark, sf).groupBy("lang", extract.basic_type(F.col("surf")).alias("type")).agg(F.count("*").alias("n"))
 
@@ -120,7 +132,9 @@ def extract_numbers(spark, sf):
 
 
 def extract_symbols(spark, sf):
-    found = literals(spark).select("id", F.explode(extract.all_of(F.col("text"), extract.SYMBOLS)).alias("symbol"))
+    pages = _read(spark, sf, "pages", F.col("page_id").alias("id"), F.col("html").alias("text"))
+    both = _read(spark, sf, "documents", F.col("doc_id").alias("id"), "text").unionByName(pages).unionByName(literals(spark).select((-F.col("id")).cast("bigint").alias("id"), "text"))
+    found = both.select("id", F.explode(extract.all_of(F.col("text"), extract.SYMBOLS)).alias("symbol"))
     veto = rule_files.rule_table(spark, "").where("kind = 'non-symbol'").select(F.col("head").alias("symbol"))
     return found.join(veto, "symbol", "left_anti").select("id", "symbol")
 
@@ -140,20 +154,22 @@ def split_basic_punct(spark, sf):
 
 
 def english_contractions(spark, sf):
-    return literal_words(spark).select("id", F.regexp_extract("surf", extract.CLITIC, 1).alias("base"), F.regexp_extract("surf", extract.CLITIC, 2).alias("clitic")).where("clitic <> ''")
+    w = every_word(spark, sf).select(F.regexp_extract("surf", extract.CLITIC, 1).alias("base"), F.regexp_extract("surf", extract.CLITIC, 2).alias("clitic"))
+    return w.where("clitic <> ''").groupBy("base", "clitic").agg(F.count("*").alias("n"))
 
 
 def abbreviations(spark, sf):
-    return literal_words(spark).select("id", "surf", F.when(F.col("surf").rlike(extract.PRODUCT), "ABBREV-P").when(F.col("surf").rlike(extract.PERIODS), "ABBREV-PP").alias("type")).where("type is not null")
+    w = every_word(spark, sf).select("surf", F.when(F.col("surf").rlike(extract.PRODUCT), "ABBREV-P").when(F.col("surf").rlike(extract.PERIODS), "ABBREV-PP").alias("type"))
+    return w.where("type is not null").groupBy("surf", "type").agg(F.count("*").alias("n"))
 
 
 def line_ids(spark, sf):
-    return literals(spark).select("id", line_source.line_id(F.col("text")).alias("line_id"))
+    return every_line(spark, sf).select("doc_id", "line_no", line_source.line_id(F.col("text")).alias("line_id"))
 
 
 def adjust_capitals(spark, sf):
-    w = literal_words(spark)
-    return w.where(F.col("surf").rlike(r"^\p{L}+$")).select("id", "surf", extract.adjusted(F.col("surf"), F.lit("will")).alias("adjusted"))
+    w = every_word(spark, sf).where(F.col("surf").rlike(r"^\p{L}+$")).groupBy("surf").agg(F.count("*").alias("n"))
+    return w.select("surf", "n", extract.adjusted(F.col("surf"), F.lit("will")).alias("adjusted"))
 
 
 def even_lower(spark, sf):
@@ -165,7 +181,8 @@ _RULES = [(1, "et al.", "ABBREV"), (2, "wo n't", "REPAIR"), (3, "new york", "LEX
 
 def rule_join_longest_match(spark, sf):
     table = spark.createDataFrame(_RULES, "rule_no int, head_lc string, type string")
-    return analysis.longest_matches(literals(spark).select("id", extract.words(F.col("text")).alias("words")), table, 3, "id").select("id", "start", "n", "gram", "type")
+    lines_ = every_line(spark, sf).select("doc_id", "line_no", extract.words(F.col("text")).alias("words"))
+    return analysis.longest_matches(lines_, table, 3, "doc_id", "line_no").select("doc_id", "line_no", "start", "n", "gram", "type")
 
 
 def rule_semi_join(spark, sf):
@@ -221,8 +238,12 @@ _NEW = [("abbrev", "Mr.", None), ("contraction", "can't", "can n't"), ("misspell
 
 
 def rule_merge_full_outer(spark, sf):
+    """Rules proposed by two languages' documents (short words with a period, words with a clitic), with rules of an anchor, merged."""
+    w = words(spark, sf).select("lang", "surf").distinct()
+    kind = F.when(F.col("surf").rlike(r"^\p{L}{1,3}[.]$"), "abbrev").when(F.col("surf").rlike(r"^\p{L}+['’]\p{L}+$"), "contraction")
+    of = lambda code: w.where(F.col("lang") == code).select(kind.alias("kind"), F.col("surf").alias("head"), F.lit("").alias("target")).where("kind is not null")
     a, b = (spark.createDataFrame([(k, h, t or "") for k, h, t in x], "kind string, head string, target string") for x in (_ANCHOR, _NEW))
-    return analysis.merge_rules(a, b)
+    return analysis.merge_rules(of("en").unionByName(a), of("fr").unionByName(b))
 
 
 def type_lang_rollup(spark, sf):
@@ -267,7 +288,41 @@ def trigger_as_of(spark, sf):
 
 
 def domain_tiers(spark, sf):
-    return rule_files.domain_table(spark).groupBy("reliability").agg(F.count("*").alias("n"))
+    """Pages and documents' e-mail addresses by the reliability of their top-level domain; - for those that aren't known."""
+    pages = _read(spark, sf, "pages", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host"))
+    mail = _read(spark, sf, "documents", F.explode(extract.all_of(F.col("text"), extract.EMAIL)).alias("host"))
+    code = pages.unionByName(mail).select(F.lower(F.regexp_extract("host", r"[.]([^.]+)$", 1)).alias("code"))
+    counted = code.groupBy("code").agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(rule_files.domain_table(spark)), "code", "left").groupBy("code", F.coalesce("reliability", F.lit("-")).alias("reliability")).agg(F.sum("n").alias("n"))
+
+
+def type_lang_cube(spark, sf):
+    return words(spark, sf).select("lang", extract.basic_type(F.col("surf")).alias("type")).cube("lang", "type").agg(F.count("*").alias("n"), F.grouping_id().cast("bigint").alias("level"))
+
+
+def type_source_grouping_sets(spark, sf):
+    docs = _read(spark, sf, "documents", "lang", "source", "n_chars")
+    return docs.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.grouping_id().cast("bigint").alias("level"))
+
+
+_BANDS = [(0, 0, 100), (1, 100, 1000), (2, 1000, 10_000), (3, 10_000, 1 << 40)]
+
+
+def theta_join_bands(spark, sf):
+    """Documents by bands of length: a join on inequalities with a table of a few rows."""
+    bands = spark.createDataFrame(_BANDS, "band int, low bigint, high bigint")
+    docs = _read(spark, sf, "documents", "lang", "n_chars")
+    return docs.join(F.broadcast(bands), (F.col("n_chars") >= F.col("low")) & (F.col("n_chars") < F.col("high"))).groupBy("band", "lang").agg(F.count("*").alias("n"))
+
+
+def global_sort(spark, sf):
+    """All distinct words in a total order, each with its place: places within a beginning, and the number of words with smaller beginnings."""
+    counts = words(spark, sf).groupBy("surf").agg(F.count("*").alias("n")).withColumn("begin", F.substring("surf", 1, 3))
+    placed = counts.withColumn("own", F.row_number().over(Window.partitionBy("begin").orderBy("surf")))
+    sizes = counts.groupBy("begin").agg(F.count("*").alias("size"))
+    # one row a beginning of three characters, which an alphabet bounds
+    before = sizes.select("begin", (F.sum("size").over(Window.orderBy("begin")) - F.col("size")).alias("base"))
+    return placed.join(before, "begin").select("surf", "n", (F.col("base") + F.col("own")).alias("place"))
 
 
 def _cascade_input(spark, sf):
@@ -290,13 +345,11 @@ def tokenize_pages(spark, sf):
 
 
 def annotation_json(spark, sf):
-    rows = _read(spark, sf, "benchmark", "item_id", "text").withColumn("lang", F.lit("en"))
-    rows = line_source.split_lines(rows, "item_id", "lang")
-    return tokenized(rows).select("item_id", "line_no", sinks.annotation(F.col("item_id").cast("string"), F.col("snt"), F.col("tokens")).alias("json"))
+    return tokenized(_cascade_input(spark, sf)).select("doc_id", "line_no", sinks.annotation(F.col("doc_id").cast("string"), F.col("snt"), F.col("tokens")).alias("json"))
 
 
 def annotation_double_colon(spark, sf):
-    return annotation_json(spark, sf).select("item_id", "line_no", sinks.annotation_to_double_colon(F.col("json")).alias("text"))
+    return annotation_json(spark, sf).select("doc_id", "line_no", sinks.annotation_to_double_colon(F.col("json")).alias("text"))
 
 
 def detokenize_roundtrip(spark, sf):
@@ -306,7 +359,7 @@ def detokenize_roundtrip(spark, sf):
 
 
 def detok_markup(spark, sf):
-    return literals(spark).select("id", unmarked(F.col("text")).alias("text"))
+    return every_line(spark, sf).select("doc_id", "line_no", unmarked(F.col("text")).alias("text"))
 
 
 def boost_rewrites(spark, sf):
@@ -316,7 +369,7 @@ def boost_rewrites(spark, sf):
 QUERIES = {f.__name__: f for f in (
     token_type_counts, token_frequency_topk, normalize_text, normalize_misread, line_flags, extract_emails, extract_urls, extract_xml_tags, extract_hashtags_handles, extract_filenames, extract_numbers,
     extract_symbols, split_leading_integer, split_hyphen_markup, split_basic_punct, english_contractions, abbreviations, line_ids, adjust_capitals, even_lower, rule_join_longest_match, rule_semi_join,
-    anomaly_case, anomaly_letter_punct, anomaly_letter_number, anomaly_no_period, anomaly_around_numbers, line_diff, block_diff, block_numbers, rule_merge_full_outer, type_lang_rollup, label_token_stats,
+    anomaly_case, anomaly_letter_punct, anomaly_letter_number, anomaly_no_period, anomaly_around_numbers, line_diff, block_diff, block_numbers, rule_merge_full_outer, type_lang_rollup, type_lang_cube, type_source_grouping_sets, theta_join_bands, global_sort, label_token_stats,
     vocabulary_sets, conversation_previous, event_windows, event_sessions, trigger_as_of, domain_tiers, tokenize_full, token_chart_types, tokenize_pages, annotation_json, annotation_double_colon,
     detokenize_roundtrip, detok_markup, boost_rewrites,
 )}
@@ -324,6 +377,9 @@ QUERIES = {f.__name__: f for f in (
 _W = f"WITH {_SQL_LINES}, {_SQL_WORDS}"
 _L = f"WITH {_SQL_LITERALS}, {_SQL_LIT_WORDS}"
 _B = f"{_W}, {_SQL_LITERALS}, {_SQL_LIT_WORDS}"
+_SAID = f"saidword AS (SELECT unnest(list_filter(regexp_split_to_array(text, {_SPLIT}), lambda w: w <> '')) AS surf FROM conversations)"
+_EVERY = f"{_B}, {_SAID}, anyword AS (SELECT surf FROM word UNION ALL SELECT surf FROM litword UNION ALL SELECT surf FROM saidword)"
+_LINES = f"WITH {_SQL_LINES}, {_SQL_LITERALS}, anyline AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, text FROM line UNION ALL SELECT CAST(-id AS BIGINT), 1, text FROM lit)"
 _BOTH = "SELECT doc_id AS id, text FROM documents UNION ALL SELECT CAST(-id AS BIGINT), text FROM lit"
 _WIN = [(c, normalize._WINDOWS[c]) for c in normalize._WINDOWS]
 _CHARS = lambda codes: "||".join(f"chr({ord(c)})" for c in codes)
@@ -350,16 +406,16 @@ ORACLE_SQL = {
     "extract_hashtags_handles": f"WITH {_SQL_LITERALS} SELECT id, unnest(regexp_extract_all(text, {_q(extract.HASHTAG)}, 0)) AS tag FROM (SELECT page_id AS id, url AS text FROM pages UNION ALL SELECT CAST(-id AS BIGINT), text FROM lit)",
     "extract_filenames": f"WITH {_SQL_LITERALS} SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {_q(extract.FILENAME)}, 0)) AS name FROM (SELECT html AS text FROM pages UNION ALL SELECT text FROM lit)) GROUP BY 1",
     "extract_numbers": f"WITH {_SQL_LITERALS} SELECT id, unnest(regexp_extract_all(text, {_q(extract.NUMBER)}, 0)) AS number FROM ({_BOTH})",
-    "extract_symbols": f"WITH {_SQL_LITERALS} SELECT * FROM (SELECT id, unnest(regexp_extract_all(text, {_q(extract.SYMBOLS)}, 0)) AS symbol FROM lit) WHERE symbol <> '←'",
+    "extract_symbols": f"WITH {_SQL_LITERALS} SELECT * FROM (SELECT id, unnest(regexp_extract_all(text, {_q(extract.SYMBOLS)}, 0)) AS symbol FROM ({_BOTH} UNION ALL SELECT page_id, html FROM pages)) WHERE symbol <> '←'",
     "split_leading_integer": rf"{_B} SELECT doc_id, surf, regexp_replace(surf, '^([0-9]+)([/\p{{L}}])', '\1 \2') AS parts FROM (SELECT doc_id, surf FROM word UNION ALL SELECT CAST(-id AS BIGINT), surf FROM litword) WHERE regexp_matches(surf, '^[0-9]+[/\p{{L}}]')",
     "split_hyphen_markup": rf"{_B} SELECT doc_id, surf, regexp_replace(surf, '(\p{{L}}\p{{L}})-(\p{{L}}\p{{L}})', '\1 @-@ \2', 'g') AS parts FROM (SELECT doc_id, surf FROM word UNION ALL SELECT CAST(-id AS BIGINT), surf FROM litword) WHERE regexp_matches(surf, '\p{{L}}\p{{L}}-\p{{L}}\p{{L}}')",
     "split_basic_punct": rf"{_W} SELECT * FROM (SELECT lang, regexp_extract(surf, '^[^.,!?]*[^.,!?\s]([.,]|[!]+|[?]+)$', 1) AS mark, count(*) AS n FROM word GROUP BY 1, 2) WHERE mark <> ''",
-    "english_contractions": f"{_L} SELECT * FROM (SELECT id, regexp_extract(surf, {_q(extract.CLITIC)}, 1) AS base, regexp_extract(surf, {_q(extract.CLITIC)}, 2) AS clitic FROM litword) WHERE clitic <> ''",
-    "abbreviations": f"{_L} SELECT * FROM (SELECT id, surf, CASE WHEN regexp_matches(surf, {_q(extract.PRODUCT)}) THEN 'ABBREV-P' WHEN regexp_matches(surf, {_q(extract.PERIODS)}) THEN 'ABBREV-PP' END AS type FROM litword) WHERE type IS NOT NULL",
-    "line_ids": rf"WITH {_SQL_LITERALS} SELECT id, nullif(regexp_extract(text, '^(\S+)\s+\S', 1), '') AS line_id FROM lit",
-    "adjust_capitals": rf"{_L} SELECT id, surf, CASE WHEN lower(surf) = 'will' THEN surf WHEN length(surf) > 1 AND surf = upper(surf) THEN 'WILL' WHEN regexp_matches(surf, '^\p{{Lu}}') THEN 'Will' ELSE 'will' END AS adjusted FROM litword WHERE regexp_matches(surf, '^\p{{L}}+$')",
+    "english_contractions": f"{_EVERY} SELECT base, clitic, count(*) AS n FROM (SELECT regexp_extract(surf, {_q(extract.CLITIC)}, 1) AS base, regexp_extract(surf, {_q(extract.CLITIC)}, 2) AS clitic FROM anyword) WHERE clitic <> '' GROUP BY 1, 2",
+    "abbreviations": f"{_EVERY} SELECT surf, type, count(*) AS n FROM (SELECT surf, CASE WHEN regexp_matches(surf, {_q(extract.PRODUCT)}) THEN 'ABBREV-P' WHEN regexp_matches(surf, {_q(extract.PERIODS)}) THEN 'ABBREV-PP' END AS type FROM anyword) WHERE type IS NOT NULL GROUP BY 1, 2",
+    "line_ids": rf"{_LINES} SELECT doc_id, line_no, nullif(regexp_extract(text, '^(\S+)\s+\S', 1), '') AS line_id FROM anyline",
+    "adjust_capitals": rf"{_EVERY} SELECT surf, count(*) AS n, CASE WHEN lower(surf) = 'will' THEN surf WHEN length(surf) > 1 AND surf = upper(surf) THEN 'WILL' WHEN regexp_matches(surf, '^\p{{Lu}}') THEN 'Will' ELSE 'will' END AS adjusted FROM anyword WHERE regexp_matches(surf, '^\p{{L}}+$') GROUP BY surf",
     "even_lower": f"{_W} SELECT lower(replace(surf, 'İ', 'i')) AS low, count(*) AS n FROM word GROUP BY 1",
-    "rule_join_longest_match": f"WITH {_SQL_LITERALS}, {_RULE_SQL}, w AS (SELECT id, list_filter(regexp_split_to_array(text, {_SPLIT}), lambda w: w <> '') AS ws FROM lit), g AS (SELECT id, s, n, array_to_string(ws[s:s + n - 1], ' ') AS gram FROM (SELECT id, ws, unnest(generate_series(1, len(ws))) AS s FROM w) CROSS JOIN (VALUES (1), (2), (3)) AS k(n) WHERE s + n - 1 <= len(ws)) SELECT id, CAST(s - 1 AS INTEGER) AS start, n, gram, type FROM (SELECT *, row_number() OVER (PARTITION BY id, s ORDER BY n DESC, rule_no) AS place FROM g JOIN rule ON lower(gram) = head_lc) WHERE place = 1",
+    "rule_join_longest_match": f"{_LINES}, {_RULE_SQL}, w AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(text, {_SPLIT}), lambda w: w <> '') AS ws FROM anyline), g AS (SELECT doc_id, line_no, s, n, array_to_string(ws[s:s + n - 1], ' ') AS gram FROM (SELECT doc_id, line_no, ws, unnest(generate_series(1, len(ws))) AS s FROM w) CROSS JOIN (VALUES (1), (2), (3)) AS k(n) WHERE s + n - 1 <= len(ws)) SELECT doc_id, line_no, CAST(s - 1 AS INTEGER) AS start, n, gram, type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, s ORDER BY n DESC, rule_no) AS place FROM g JOIN rule ON lower(gram) = head_lc) WHERE place = 1",
     "rule_semi_join": f"{_W}, {_RULE_SQL} SELECT lang, count(*) AS n FROM word WHERE lower(surf) IN (SELECT head_lc FROM rule) GROUP BY 1",
     "anomaly_case": rf"{_B} SELECT surf, count(*) AS n FROM (SELECT surf FROM word UNION ALL SELECT surf FROM litword) WHERE regexp_matches(surf, '\p{{Ll}}\p{{Lu}}') AND NOT regexp_matches(surf, '^(?:Mac|Mc)\p{{Lu}}\p{{Ll}}+$') GROUP BY 1",
     "anomaly_letter_punct": rf"{_W} SELECT lang, surf, count(*) AS n FROM word WHERE regexp_matches(surf, '\p{{L}}') AND regexp_matches(surf, '\p{{P}}') AND NOT regexp_matches(surf, '^(?:\p{{L}}\.|''n''|&quot;)$') GROUP BY 1, 2",
@@ -369,7 +425,7 @@ ORACLE_SQL = {
     "line_diff": f"WITH {_SQL_LINES}, {_SQL_LITERALS}, x AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, text AS before FROM line UNION ALL SELECT CAST(-id AS BIGINT), 1, text FROM lit) SELECT * FROM (SELECT doc_id, line_no, before, regexp_replace(translate(regexp_replace(before, '(?i)&(?:#160|#xa0|nbsp);', ' ', 'g'), chr(181)||chr(8228), chr(956)||'.'), ' +', ' ', 'g') AS after FROM x) WHERE before <> after",
     "block_diff": f"WITH {_SQL_LINES}, a AS (SELECT doc_id AS block, text, count(*) AS before FROM line GROUP BY 1, 2), b AS (SELECT doc_id AS block, regexp_replace(text, '[0-9]', 'd', 'g') AS text, count(*) AS after FROM line GROUP BY 1, 2) SELECT coalesce(a.block, b.block) AS block, coalesce(a.text, b.text) AS text, coalesce(before, 0) AS before, coalesce(after, 0) AS after FROM a FULL JOIN b ON a.block = b.block AND a.text = b.text WHERE coalesce(before, 0) <> coalesce(after, 0)",
     "block_numbers": "SELECT conv_id, block, count(*) AS n FROM (SELECT conv_id, CAST(sum(CASE WHEN role = 'user' OR starts_with(text, '::line') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM conversations) GROUP BY 1, 2",
-    "rule_merge_full_outer": f"WITH {_MERGE('a', _ANCHOR)}, {_MERGE('b', _NEW)} SELECT CASE kind WHEN 'punct-split' THEN 1 WHEN 'abbrev' THEN 2 WHEN 'contraction' THEN 3 ELSE 4 END AS priority, kind, head, target, old, fresh, NOT old AND kind <> 'misspelling' AS disabled FROM (SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.head, b.head) AS head, coalesce(a.target, b.target) AS target, a.kind IS NOT NULL AS old, b.kind IS NOT NULL AS fresh FROM a FULL JOIN b ON a.kind = b.kind AND a.head = b.head AND a.target = b.target)",
+    "rule_merge_full_outer": rf"WITH {_SQL_LINES}, {_SQL_WORDS}, own AS (SELECT DISTINCT lang, CASE WHEN regexp_matches(surf, '^\p{{L}}{{1,3}}[.]$') THEN 'abbrev' WHEN regexp_matches(surf, '^\p{{L}}+[''’]\p{{L}}+$') THEN 'contraction' END AS kind, surf AS head, '' AS target FROM word), {_MERGE('a0', _ANCHOR)}, {_MERGE('b0', _NEW)}, a AS (SELECT kind, head, target FROM own WHERE lang = 'en' AND kind IS NOT NULL UNION ALL SELECT * FROM a0), b AS (SELECT kind, head, target FROM own WHERE lang = 'fr' AND kind IS NOT NULL UNION ALL SELECT * FROM b0) SELECT CASE kind WHEN 'punct-split' THEN 1 WHEN 'abbrev' THEN 2 WHEN 'contraction' THEN 3 ELSE 4 END AS priority, kind, head, target, old, fresh, NOT old AND kind <> 'misspelling' AS disabled FROM (SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.head, b.head) AS head, coalesce(a.target, b.target) AS target, a.kind IS NOT NULL AS old, b.kind IS NOT NULL AS fresh FROM a FULL JOIN b ON a.kind = b.kind AND a.head = b.head AND a.target = b.target)",
     "type_lang_rollup": f"{_W} SELECT lang, type, count(*) AS n, CAST(grouping(lang, type) AS BIGINT) AS level FROM (SELECT lang, {_SQL_TYPE} AS type FROM word) GROUP BY ROLLUP (lang, type)",
     "label_token_stats": r"SELECT lang, quality, toxic, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, CAST(max(n) AS BIGINT) AS longest FROM (SELECT doc_id, lang, len(list_filter(regexp_split_to_array(text, '[ \t\r\f\x0B\n]+'), lambda w: w <> '')) AS n FROM documents) JOIN labels USING (doc_id) GROUP BY 1, 2, 3",
     "vocabulary_sets": f"{_W}, v AS (SELECT DISTINCT lang, lower(surf) AS surf FROM word), e AS (SELECT surf FROM v WHERE lang = 'en'), d AS (SELECT surf FROM v WHERE lang = 'de') SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM e UNION SELECT * FROM d) UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM e INTERSECT SELECT * FROM d) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM e EXCEPT SELECT * FROM d)",
@@ -377,5 +433,9 @@ ORACLE_SQL = {
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "event_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
     "trigger_as_of": "SELECT event_id, click FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS click FROM events) WHERE event_type = 'purchase'",
-    "domain_tiers": "SELECT * FROM (VALUES " + ", ".join(f"({_q(k)}, CAST({len(v)} AS BIGINT))" for k, v in rules.domains().items()) + ") AS t(reliability, n)",
+    "domain_tiers": "WITH tier(code, reliability) AS (VALUES " + ", ".join(f"({_q(c)}, {_q(k)})" for k, v in rules.domains().items() for c in v) + rf"), host AS (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages UNION ALL SELECT unnest(regexp_extract_all(text, {_q(extract.EMAIL)}, 0)) FROM documents) SELECT code, coalesce(reliability, '-') AS reliability, CAST(count(*) AS BIGINT) AS n FROM (SELECT lower(regexp_extract(host, '[.]([^.]+)$', 1)) AS code FROM host) LEFT JOIN tier USING (code) GROUP BY 1, 2",
+    "type_lang_cube": f"{_W} SELECT lang, type, count(*) AS n, CAST(grouping(lang, type) AS BIGINT) AS level FROM (SELECT lang, {_SQL_TYPE} AS type FROM word) GROUP BY CUBE (lang, type)",
+    "type_source_grouping_sets": "SELECT lang, source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(grouping(lang, source) AS BIGINT) AS level FROM documents GROUP BY GROUPING SETS ((lang), (source), ())",
+    "theta_join_bands": "WITH bands(band, low, high) AS (VALUES " + ", ".join(f"({b}, {x}, {y})" for b, x, y in _BANDS) + ") SELECT band, lang, count(*) AS n FROM documents JOIN bands ON n_chars >= low AND n_chars < high GROUP BY 1, 2",
+    "global_sort": f"{_W} SELECT surf, n, row_number() OVER (ORDER BY surf) AS place FROM (SELECT surf, count(*) AS n FROM word GROUP BY surf)",
 }

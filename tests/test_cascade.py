@@ -1,3 +1,6 @@
+import os
+import pathlib
+
 import pytest
 
 from sparkloom.operators.cascade import Tokenizer, adjust_case, align, exploded, tokenized
@@ -61,6 +64,58 @@ def test_paths_agree():
         assert ENG.tokens(text) == list(ENG._line(text))
 
 
+def test_contexts_see_the_whole_line(tmp_path):
+    (tmp_path / "eng.txt").write_text("::lexical big deal ::left-context ^see.{40,60} ::sem-class far\n::lexical small deal ::left-context-not (?:^|\\s)no\\s.{50,}\n")
+    walk = Tokenizer("eng", str(tmp_path))
+    classes = lambda text: [(t.surf, t.sem_class) for t in walk._line(text) if " " in t.surf]
+    assert classes("see " + "x " * 24 + "big deal") == [("big deal", "far")]
+    assert classes("see " + "x " * 80 + "big deal") == classes("sea " + "x " * 24 + "big deal") == []
+    assert classes("yes " + "x " * 40 + "small deal") == [("small deal", None)] and classes("no " + "x " * 40 + "small deal") == []
+
+
+def test_phonetic_initials_before_a_space():
+    mal = Tokenizer("mal")
+    assert mal.tokens("എഫ്. ആണ്") == list(mal._line("എഫ്. ആണ്")) and mal.tokens("എഫ്. ആണ്")[0].type == "ABBREV-IP"
+
+
+def test_long_lines_in_proportion():
+    """Paired marks and contexts cost the same in a long line."""
+    import time
+
+    walk = Tokenizer("eng")
+
+    def seconds(n):
+        start = time.perf_counter()
+        walk._line('a "b" well-known *c* ' * n)
+        return time.perf_counter() - start
+
+    seconds(50)
+    few = min(seconds(500) for _ in range(3))
+    assert min(seconds(2000) for _ in range(2)) < 10 * max(few, 0.02)
+
+
+def test_columns_that_clash(spark):
+    rows = [(1, "a well-known case.", "en", 7, "mine")]
+    out = tokenized(spark.createDataFrame(rows, "id int, text string, lang string, lang_code int, __lang_code string")).collect()[0]
+    assert (out.lang_code, out["__lang_code"], len(out.tokens)) == (7, "mine", 6)
+
+
+def test_published_lines():
+    """Inputs NAME.LANG.txt (with line ids) and their tokens, NAME.LANG.tok, of a folder that the environment names."""
+    folder = os.environ.get("TOKEN_GOLDENS")
+    if not folder:
+        pytest.skip("TOKEN_GOLDENS isn't set")
+    checked = 0
+    for source in pathlib.Path(folder).rglob("*.txt"):
+        for want in pathlib.Path(folder).rglob(f"{source.stem}.tok"):
+            walk = Tokenizer(source.stem.rpartition(".")[2])
+            for line, expected in zip(source.read_text().splitlines(), want.read_text().splitlines(), strict=True):
+                name, _, text = line.partition(" ")
+                assert f"{name} {walk.string(text)}" == expected
+                checked += 1
+    assert checked
+
+
 def test_alignment():
     assert align("can't", ["can", "n't"]) == [(0, 2, "ca"), (2, 5, "n't")] or align("can't", ["can", "n't"])[1] == (2, 5, "n't")
     assert align("cannot", ["can", "not"], "3,3") == [(0, 3, "can"), (3, 6, "not")]

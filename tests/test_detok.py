@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators.cascade import Tokenizer
-from sparkloom.operators.detok import Detokenizer, detokenized, unmarked
+from sparkloom.operators.detok import Detokenizer, detokenized, detokenizer, unmarked
+from sparkloom.rules import HERE
 
 ENG = Detokenizer("eng")
 
@@ -39,3 +40,24 @@ def test_table(spark):
 def test_native_markup(spark):
     df = spark.createDataFrame([("peace @-@ loving",), ("a @:@ b",), ("x @- y",), ("x -@ y",)], "t string")
     assert [r[0] for r in df.select(unmarked(F.col("t"))).collect()] == ["peace-loving", "a:b", "x- y", "x -y"]
+
+
+def test_columns_that_clash(spark):
+    rows = [(1, "a well @-@ known case .", "en", 7, "mine")]
+    for names in ("_lang int, lang_code string", "lang_code int, _lang string"):
+        out = detokenized(spark.createDataFrame(rows, f"id int, tokenized string, lang string, {names}")).collect()[0]
+        assert out.detokenized == "a well-known case." and {out["_lang"], out.lang_code} == {7, "mine"}
+
+
+def test_long_lines_in_proportion():
+    import time
+
+    fold = detokenizer("eng", HERE)
+
+    def seconds(n):
+        start = time.perf_counter()
+        fold.string("<b> word </b> " * n)
+        return time.perf_counter() - start
+
+    seconds(50)
+    assert seconds(8000) < 12 * max(seconds(2000), 0.01)

@@ -1,9 +1,19 @@
+import collections
+import json
 import pathlib
+import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from sparkloom.functions.normalize import normalized
+from sparkloom.operators import analysis
+from sparkloom.operators.cascade import LANGUAGES, tokenizer
+from sparkloom.operators.detok import detokenizer
 from sparkloom.plans import queries
+from sparkloom.rules import HERE
+from sparkloom.sources import lines as line_source
 
 SF = "/root/testdata/sf0.001"
 #: Queries whose result over the small tables may be empty.
@@ -39,14 +49,79 @@ def test_query_matches_sql(spark, duck, name):
     assert got or name in MAY_BE_EMPTY
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
-def test_query_has_rows(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() > 0
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    """(doc_id, line_no, lang, normalized text, tokens) of each line, by the tokenizer alone."""
+    out = []
+    for r in queries._cascade_input(spark, SF).withColumn("snt", F.coalesce(normalized(F.col("text")), F.lit(""))).collect():
+        out.append((r.doc_id, r.line_no, LANGUAGES.get(r.lang, r.lang), r.snt, list(tokenizer(LANGUAGES.get(r.lang, r.lang), HERE, False)._line(r.snt))))
+    return out
+
+
+def test_tokens_match_whole_walks(spark, made):
+    """Texts, types and annotations against the full cascade over each line, without cache, cuts or batches."""
+    assert rows(queries.tokenize_full(spark, SF)) == sorted(((i, n, " ".join(t.surf for t in ts)) for i, n, _, _, ts in made), key=repr)
+    back = {v: k for k, v in LANGUAGES.items()}
+    types = collections.Counter((back[lang], t.type, t.sem_class) for *_, lang, _, ts in made for t in ts)
+    assert {(r.lang, r.type, r.sem_class): r.n for r in queries.token_chart_types(spark, SF).collect()} == types
+    want = {}
+    for i, n, _, snt, ts in made:
+        chart = [{"span": f"{t.start}-{t.end}", "type": t.type} | ({"sem-class": t.sem_class} if t.sem_class else {}) | {"surf": t.surf} for t in ts]
+        want[i, n] = {"ID": str(i), "snt": snt, "chart": chart}
+    assert {(r.doc_id, r.line_no): json.loads(r.json) for r in queries.annotation_json(spark, SF).collect()} == want
+    text = lambda a: "\n".join([f"::line {a['ID']} ::s {a['snt']}", *(" ".join(f"::{k} {v}" for k, v in t.items()) for t in a["chart"])])
+    assert {(r.doc_id, r.line_no): r.text for r in queries.annotation_double_colon(spark, SF).collect()} == {k: text(a) for k, a in want.items()}
+
+
+def test_pages_match_whole_walks(spark):
+    found = collections.Counter()
+    walk = tokenizer("eng", HERE, False)
+    for r in line_source.split_lines(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", F.col("html").alias("text")), "page_id").select("page_id", normalized(F.col("text")).alias("snt")).collect():
+        found.update((r.page_id, t.type) for t in walk._line(r.snt))
+    assert {(r.page_id, r.type): r.n for r in queries.tokenize_pages(spark, SF).collect()} == found
+
+
+def test_detokenized_lines(spark, made):
+    same = 0
+    got = {(r.doc_id, r.line_no): (r.detokenized, r.same) for r in queries.detokenize_roundtrip(spark, SF).collect()}
+    for i, n, lang, snt, ts in made:
+        text = detokenizer(lang, HERE).string(" ".join(t.surf for t in ts))
+        assert got.pop((i, n)) == (text, text == re.sub(r"[ \t\r\n\f\v]+", " ", snt).strip(" "))
+        same += text == " ".join(snt.split())
+    assert not got and same > 0.6 * len(made)
+
+
+def test_rewrites_match_python(spark):
+    lines = queries.every_line(spark, SF).collect()
+
+    def unmarked(x):
+        for pattern, by in ((r" @([-–—:/_]+)@ ", r"\1"), (r" @([-–—:/_]+)@(?= |$)", r"\1"), (r"((?<=^)|(?<= ))([-–—:/_]+)@ ", r"\2")):
+            x = re.sub(pattern, by, x)
+        return x
+
+    assert rows(queries.detok_markup(spark, SF)) == sorted(((r.doc_id, r.line_no, unmarked(r.text)) for r in lines), key=repr)
+    boost = [(p, by.replace("$", "\\")) for p, by in analysis._BOOST]
+
+    def boosted(x):
+        for pattern, by in boost:
+            x = re.sub(pattern, by, x)
+        return x
+
+    assert rows(queries.boost_rewrites(spark, SF)) == sorted(((r.doc_id, r.line_no, boosted(r.text)) for r in lines if r.doc_id >= 0), key=repr)
+
+
+def test_each_query_is_checked():
+    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"tokenize_full", "token_chart_types", "tokenize_pages", "annotation_json", "annotation_double_colon", "detokenize_roundtrip", "detok_markup", "boost_rewrites"}
 
 
 def test_pushdown(spark):
     """Scans read the columns that a query needs, and no query over lines shuffles text."""
     plan = queries.token_type_counts(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<lang:string,text:string>" in plan
+    read = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
+    assert set(read.split(",")) == {"lang:string", "text:string"}
     plan = queries.extract_emails(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
