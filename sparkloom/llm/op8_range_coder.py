@@ -13,7 +13,7 @@ Counts go on with each id. An order takes N / (N + c * D) of what the higher ord
 left, N being what its context has been followed by so far and D the different ids
 among that, so a context that proved to foretell gets more. All of it is in integers,
 so that both sides agree to the bit. The encoder finds all counts of a chunk's blocks
-at once, by radix sorts of contexts; the decoder keeps a sorted list for each context.
+by sorting contexts; the decoder keeps a sorted list for each context.
 The coder has a 64-bit range, gives out 32 bits at a time, and settles carries at the
 end. All blocks of a chunk are coded in lockstep, one id of each block at a time.
 
@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm import ask, common, op9_sentencepiece
 
 BLOCK = 8192
+#: Text whose blocks are coded in lockstep.
+CHUNK_BYTES = 8 << 20
 TOTAL_BITS = 22
 TOTAL = 1 << TOTAL_BITS
 #: c of orders 0, 1 and 2.
@@ -49,31 +51,11 @@ ESCAPE = (1, 3, 3)
 #: Groups of up to so many ids are counted by comparing all of them.
 SMALL, STEP = 128, 64
 #: Blocks that are counted together.
-TOGETHER = 16
+TOGETHER = 4
 BLOCKS = "block bigint, doc_ids array<bigint>, counts array<int>, continued boolean, n int, checksum bigint, payload binary"
 _LOW32 = 1 << 32
 
 
-def _sorted(*keys: np.ndarray) -> np.ndarray:
-    """The stable order by the keys, the first one counting most; 16-bit stable sorts are radix sorts."""
-    by = np.arange(len(keys[0]))
-    for key in keys[::-1]:
-        top = int(key.max()).bit_length() if len(key) else 0
-        for shift in range(0, top, 16):
-            by = by[np.argsort((key[by] >> shift).astype(np.uint16 if top - shift > 8 else np.uint8), kind="stable")]
-    return by
-
-
-def _heads(by: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Where a new group of equal keys starts in the order."""
-    new = np.ones(len(by), bool)
-    new[1:] = False
-    for key in keys:
-        k = key[by]
-        new[1:] |= k[1:] != k[:-1]
-    return new
-
-
 def _smaller_before(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each place of each group (consecutive in x) the earlier places of the group with a smaller value."""
     out = np.zeros(len(x), np.int64)
@@ -82,78 +64,109 @@ def _smaller_before(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
         wide = low * 2
         some = np.flatnonzero((sizes > low) & (sizes <= wide))
         earlier = np.tri(wide, wide, -1, dtype=bool)
-        for part in np.array_split(some, max(1, -(-len(some) * wide * wide // (1 << 22)))):
+        for part in np.array_split(some, max(1, -(-len(some) * wide * wide // (1 << 20)))):
             if not len(part):
                 continue
             at = starts[part, None] + np.arange(wide)
             real = np.arange(wide) < sizes[part, None]
-            held = np.where(real, x[np.minimum(at, len(x) - 1)], np.iinfo(np.int32).max).astype(np.int32)
-            less = ((held[:, None, :] < held[:, :, None]) & earlier).sum(2, dtype=np.uint8)
+            held = np.where(real, x[np.minimum(at, len(x) - 1)], np.iinfo(np.uint16).max).astype(np.uint16)
+            less = ((held[:, None, :] < held[:, :, None]) & earlier).view(np.uint8).sum(2, dtype=np.uint8)
             out[at[real]] = less[real]
         low = wide
-    for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        values, rank = np.unique(x[a : a + n], return_inverse=True)
-        rows = -(-n // STEP)
-        step = np.arange(n) // STEP
-        seen = np.zeros((rows + 1, len(values) + 1), np.int32)
-        seen[1:, 1:] = np.bincount(step * len(values) + rank, minlength=rows * len(values)).reshape(rows, -1)
-        np.cumsum(seen, 0, out=seen)
-        np.cumsum(seen, 1, out=seen)
-        held = np.full(rows * STEP, len(values), np.int32)
-        held[:n] = rank
-        held = held.reshape(rows, STEP)
-        less = ((held[:, None, :] < held[:, :, None]) & np.tri(STEP, STEP, -1, dtype=bool)).sum(2, dtype=np.uint8)
-        out[a : a + n] = seen[step, rank] + less.ravel()[:n]
+    large = np.flatnonzero(sizes > SMALL)
+    if not len(large):
+        return out
+    # larger groups in steps of STEP places: what earlier steps had below a value, and the smaller ones before it in its step
+    starts, sizes = starts[large], sizes[large]
+    steps = -(-sizes // STEP)
+    at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    base = np.repeat(np.cumsum(steps) - steps, sizes)
+    within = at - np.repeat(starts, sizes)
+    row, col = base + within // STEP, within % STEP
+    values = x[at]
+    held = np.full((int(steps.sum()), STEP), np.iinfo(np.uint16).max, np.uint16)
+    held[row, col] = values
+    less = ((held[:, None, :] < held[:, :, None]) & np.tri(STEP, STEP, -1, dtype=bool)).view(np.uint8).sum(2, dtype=np.uint8)
+    # values by their place among those that occur, as few columns as can be
+    there = np.zeros(int(values.max()) + 2, np.int32)
+    there[values + 1] = 1
+    rank = np.cumsum(there)[values]
+    wide = int(there.sum()) + 1
+    seen = np.bincount((row + 1) * wide + rank + 1, minlength=(len(held) + 1) * wide)[: (len(held) + 1) * wide].astype(np.int32).reshape(-1, wide)
+    np.cumsum(seen, 1, out=seen)
+    np.cumsum(seen, 0, out=seen)
+    out[at] = seen[row, rank] - seen[base, rank] + less[row, col]
     return out
 
 
-def counted(x: np.ndarray, block: np.ndarray, orders: int = 3) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order, and each place: of what followed the place's context in its block before, how many ids, smaller ones, the same, and different ones."""
-    n = len(x)
-    first = np.ones(n, bool)
-    first[1:] = block[1:] != block[:-1]
-    place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    back = [x] + [np.where(place >= k, np.concatenate((np.zeros(k, x.dtype), x[: max(0, n - k)]))[:n], 0) for k in range(1, orders)]
+def counted(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order, and each place of blocks of one length (rows): of what followed the place's context in its block before, how many ids, smaller ones, the same, and different ones.
+
+    A sort by the ids of k + 1 places, and time, shows an order's repetitions; shifted by a place it has the groups of the next order."""
+    rows, n = ids.shape
+    bits = max(1, int(n).bit_length())
+    mask = (1 << bits) - 1
+    time, base = np.arange(n), np.arange(rows)[:, None] * n
+    changes = lambda key: np.concatenate((np.ones((rows, 1), bool), key[:, 1:] != key[:, :-1]), 1)
+    key = np.sort(ids.astype(np.int64) << bits | time, 1)
+    at = (key & mask) + base
+    new = changes(key >> bits)
+    # ids by their rank among those of the block
+    rank = np.empty(rows * n, np.int64)
+    rank[at.ravel()] = (np.cumsum(new, 1) - 1).ravel()
+    back = [np.concatenate((np.full((rows, k), n, np.int64), rank.reshape(rows, n)[:, : max(0, n - k)]), 1)[:, :n] for k in range(3)]
+    group, heads = np.arange(rows * n), (np.arange(rows * n) % n == 0)
     out = []
-    # an order's groups, and the ids within them, are the groups of the next order one place later
-    by, heads = np.arange(n), first
-    for k in range(orders):
-        starts = np.flatnonzero(heads)
-        group = np.cumsum(heads) - 1
-        before = np.arange(n) - starts[group]
-        less = _smaller_before(x[by], starts, np.diff(np.append(starts, n)))
-        keys = (block, np.minimum(place, k), *back[k:0:-1], x)
-        within = _sorted(*keys)
-        new = _heads(within, *keys)
+    for k in range(3):
         runs = np.flatnonzero(new)
-        same = np.empty(n, np.int32)
-        same[within] = np.arange(n) - runs[np.cumsum(new) - 1]
-        once = same[by] == 0
+        same = np.empty(rows * n, np.int64)
+        same[at.ravel()] = np.arange(rows * n) - np.repeat(runs, np.diff(np.append(runs, rows * n)))
+        starts = np.flatnonzero(heads)
+        sizes = np.diff(np.append(starts, rows * n))
+        before = np.arange(rows * n) - np.repeat(starts, sizes)
+        less = _smaller_before(rank[group], starts, sizes)
+        once = same[group] == 0
         fresh = np.cumsum(once)
-        kinds = fresh - once - np.concatenate(([0], fresh))[starts][group]
-        real = place >= k
-        put = np.empty((3, n), np.int64)
-        put[:, by] = before, less, kinds
-        out.append((put[0] * real, put[1] * real, same * real, put[2] * real))
-        if k + 1 < orders:
-            keys = (block, np.minimum(place, k + 1), *back[k + 1 : 0 : -1])
-            by = _sorted(*keys)
-            heads = _heads(by, *keys)
+        kinds = fresh - once - np.repeat(fresh[starts] - once[starts], sizes)
+        put = np.empty((3, rows * n), np.int64)
+        put[:, group] = before, less, kinds
+        out.append((put[0], put[1], same, put[2]))
+        if k == 2:
+            break
+        # the next order: this order's runs of one place before; the block's last place has no next, its first k + 1 have no context
+        shown = at.ravel()
+        follow = shown % n < n - 1
+        parts = np.cumsum(new.ravel())[follow]
+        lone = (base + np.arange(min(k + 1, n))).ravel()
+        after = shown[follow] + 1
+        real = after % n > k
+        group = np.concatenate((lone, after[real]))
+        part = np.concatenate((-1 - np.arange(len(lone)), parts[real]))
+        heads = np.concatenate(([True], part[1:] != part[:-1]))
+        wide = back[k + 1]
+        for i in range(k, -1, -1):
+            wide = wide << bits | back[i]
+        key = np.sort(wide << bits | time, 1)
+        at = (key & mask) + base
+        new = changes(key >> bits)
     return out
 
 
-def intervals(x: np.ndarray, block: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width, out of TOTAL, of each id; ids of a block are consecutive."""
-    x = x.astype(np.int64)
+def intervals(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width, out of TOTAL, of each id of blocks of one length (rows)."""
+    x = ids.astype(np.int64).ravel()
     low, high, left = x.copy(), x + 1, np.full(len(x), TOTAL - vocabulary, np.int64)
-    for c, (n, less, same, kinds) in list(zip(ESCAPE, counted(x, block)))[::-1]:
-        w = left * n // np.maximum(n + c * kinds, 1)
-        low += w * less // np.maximum(n, 1)
-        high += w * (less + same) // np.maximum(n, 1)
+    # quotients of numbers this small are exact in floating point when rounded down
+    share = lambda w, part, whole: (w * part / whole).astype(np.int64)
+    for c, (n, less, same, kinds) in list(zip(ESCAPE, counted(ids)))[::-1]:
+        w = share(left, n, np.maximum(n + c * kinds, 1))
+        n = np.maximum(n, 1)
+        low += share(w, less, n)
+        high += share(w, less + same, n)
         left -= w
-    low += left * x // vocabulary
-    high += left * (x + 1) // vocabulary
-    return low, high - low
+    low += share(left, x, vocabulary)
+    high += share(left, x + 1, vocabulary)
+    return low.reshape(ids.shape), (high - low).reshape(ids.shape)
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
@@ -162,13 +175,11 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         return []
     steps, lanes = max(map(len, blocks)), len(blocks)
     start, size = np.zeros((steps, lanes), np.uint64), np.full((steps, lanes), TOTAL, np.uint64)
-    lengths = np.array([len(b) for b in blocks])
-    lane = np.repeat(np.arange(lanes), lengths)
-    place = np.arange(len(lane)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    ids, ends = np.concatenate(blocks), np.cumsum(lengths)
-    for k in range(0, lanes, TOGETHER):
-        part = slice(ends[k] - lengths[k], ends[min(k + TOGETHER, lanes) - 1])
-        start[place[part], lane[part]], size[place[part], lane[part]] = intervals(ids[part], lane[part] - k, vocabulary)
+    for n in sorted({len(b) for b in blocks} - {0}):
+        of = [k for k, b in enumerate(blocks) if len(b) == n]
+        for part in (of[i : i + TOGETHER] for i in range(0, len(of), TOGETHER)):
+            low, width = intervals(np.stack([blocks[k] for k in part]), vocabulary)
+            start[:n, part], size[:n, part] = low.T, width.T
     low, span, count = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.int64)
     words = np.zeros((lanes, steps * TOTAL_BITS // 32 + 4), np.uint64)
     bits, half, least = np.uint64(TOTAL_BITS), np.uint64(32), np.uint64(_LOW32)
@@ -248,7 +259,7 @@ def blocks(docs: DataFrame, path: str = op9_sentencepiece.MODEL, size: int = BLO
 
     def run(batches):
         block = (TaskContext.get().partitionId() << 32) - 1
-        for held in ask.chunks(batches):
+        for held in ask.chunks(batches, CHUNK_BYTES):
             ids, counts = op9_sentencepiece.encoded([x.column("text") for x in held], path)
             doc = pa.concat_arrays([pc.cast(x.column("doc_id"), pa.int64()) for x in held])
             total = np.concatenate(([0], np.cumsum(counts)))

@@ -176,7 +176,11 @@ def encoded(texts: list[pa.Array], path: str = MODEL) -> tuple[np.ndarray, np.nd
         flats.append(data)
         base += len(column)
     h, place, doc = np.concatenate(hashes), np.concatenate(places), np.concatenate(owner)
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    first, which = order[new], np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
     raw = [x.tobytes() for x in flats]
     keys = h[first]
     kept = _kept(path)
