@@ -68,6 +68,13 @@ DASH = _c(r"(?<=(?:\p{L}\p{M}*){2}|[\p{Nd}!?’])[-‐‑–−]+(?=(?:\p{L}\p{M
 LEADING_INTEGER = _c(r"(?<![\p{L}\p{M}\p{N}.,/-])\p{Nd}+(?=[/\p{L}])")
 IPA_LETTERS = frozenset("ɐɑɒɓʙβɔɕçɗɖðʤəɘɚɛɜɝɞɟʄɡɠɢʛɦɧħɥʜɨɪʝɭɬɫɮʟɱɯɰŋɳɲɴøɵɸθœɶʘɹɺɾɻʀʁɽʂʃʈʧʉʊʋⱱʌɣɤʍχʎʏʑʐʒʔʡʕʢǀǁǂǃ")
 IPA_MARKS = frozenset("ˈˌːˑˀˤʰʲʷⁿˡ͡‿.ˑ")
+QUOTES = frozenset("'’‘ʼ")
+SHORT, HEBREW, GERSHAYIM = _c(r"(?:\p{L}\p{M}*){1,2}"), _c(r"\p{Hebrew}"), _c(r"[\p{Hebrew}&&\p{L}]\p{M}*(?!'?\p{L})")
+DASHED_DIGIT, PERIOD_LETTER, LONE_LETTER, LETTER_PERIOD = _c(r"-?\p{Nd}"), _c(r"\.\p{L}"), _c(r"\p{L}\p{M}*(?:\.|(?!\p{L}))"), _c(r"(?<=\p{L}\p{M}*\.)")
+THREE_LETTERS, SINGLE_S = _c(r"(?:\p{L}.*){3}"), _c(r"(?i)s(?!\p{L})")
+#: Scripts whose letters are syllables, so that a single one may be a word; and those among which Latin words are set.
+OWN_SYLLABLES = _c(r"[\p{Hangul}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}]")
+LATIN = _c(r"\p{Latin}")
 _DOT_LETTER, _NUMERAL, _DECIMAL = _c(r"\.\p{L}"), _c(r"\p{N}"), _c(r"\p{Nd}")
 _SPAN_WHITE = re.compile(r"\S+")
 _LETTER, _DIGIT, _SYM, _PUNCT = _c(r"\p{L}"), _c(r"\p{N}"), _c(r"[\p{S}←-⯿\U0001F300-\U0001FAFF]"), _c(r"\p{P}")
@@ -162,8 +169,8 @@ def _head(r: rules.Rule) -> Head:
 class Dictionary:
     """Heads of some kinds by their lower-cased form, and all prefixes of those."""
 
-    #: Where a head may start: at a run of letters, or at any other character.
-    STARTS = re.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}\s]", flags=re.V1)
+    #: Where a head may start: at a run of letters, Latin ones or others, or at any other character.
+    STARTS = re.compile(r"\p{Latin}+|[\p{L}--\p{Latin}]+|\p{N}|[^\p{L}\p{N}\s]", flags=re.V1)
 
     def __init__(self, heads: list[Head]):
         self.by: dict[str, list[Head]] = {}
@@ -330,16 +337,31 @@ class Tokenizer:
             i -= 1
         return not (_alpha(seg[s]) and i >= 0 and _alpha(seg[i]))
 
+    def _whole(self, seg: str, s: int, e: int) -> bool:
+        """Nothing is cut off a quoted letter, a chain with ampersands, a marked token or a Hebrew word."""
+        first, last, before, after = seg[s], seg[e - 1], seg[s - 1 : s], seg[e : e + 1]
+        if last in QUOTES and _alpha(first) and before and before in QUOTES or first in QUOTES and _alpha(last) and after and after in QUOTES:
+            return False
+        if "&" in (before, after) and SHORT.fullmatch(seg, s, e):
+            return False
+        if TAG in (before, after) and seg[s:e] in self.mark_by:
+            if after == TAG and not seg[e + 1 : e + 2].strip() or before == TAG and not seg[max(0, s - 2) : s - 1].strip():
+                return False
+        if e == s + 1 and first in "\"'" and before and HEBREW.match(before):
+            return not (first == "'" or GERSHAYIM.match(seg, e))
+        return True
+
     @staticmethod
-    def _abbreviation_stands(seg: str, s: int, e: int, h: Head) -> bool:
+    def _abbreviation_stands(seg: str, s: int, e: int, h: Head, adjoins: bool = False) -> bool:
+        """P3; adjoins tells that another abbreviation ends where this one starts."""
         if h.sem_class == "currency-unit":
             return True
-        rest = seg[e:]
-        if re.match(r"-?\p{Nd}", rest) and not h.after:
+        if DASHED_DIGIT.match(seg, e) and not h.after or PERIOD_LETTER.match(seg, e):
             return False
-        if seg[e - 1] == "." and re.match(r"\p{L}\.|\p{L}(?!\p{L})", rest) or re.match(r"\.\p{L}", rest):
+        if seg[e - 1] == "." and LONE_LETTER.match(seg, e) and not OWN_SYLLABLES.match(seg, e):
             return False
-        return not re.search(r"(?:\p{L}\.)$", seg[max(0, s - 2) : s])
+        chained = "." in seg[s:e] and not THREE_LETTERS.search(seg, s, e) and LETTER_PERIOD.match(seg, s)
+        return adjoins or not chained
 
     @staticmethod
     def _within(seg: str, at: int) -> bool:
@@ -354,19 +376,19 @@ class Tokenizer:
         for at in self.priority.starts(low):
             if at < free or _mark(seg[at]) or self._within(seg, at):
                 continue
-            found = self._entry(seg, low, at, a, line)
+            found = self._entry(seg, low, at, a, line, at == free and bool(out) and out[-1].type == "ABBREV")
             if found:
                 tokens, free = found
                 out += tokens
         return (out, NEXT) if out else None
 
-    def _entry(self, seg, low, at, a, line):
+    def _entry(self, seg, low, at, a, line, adjoins=False):
         """The tokens of the longest entry at a place, and its end."""
         for e in self.priority.ends(low, at):
-            if not self._apart(seg, at, e):
+            if not self._apart(seg, at, e) or not self._whole(seg, at, e):
                 continue
             for h in self.priority.by[low[at:e]]:
-                if not self._fits(h, line, a + at, a + e) or h.kind == "abbrev" and not self._abbreviation_stands(seg, at, e, h):
+                if not self._fits(h, line, a + at, a + e) or h.kind == "abbrev" and not self._abbreviation_stands(seg, at, e, h, adjoins):
                     continue
                 if h.kind in ("abbrev", "lexical"):
                     return [Token(a + at, a + e, "ABBREV" if h.kind == "abbrev" else "LEXICAL-P", h.sem_class, seg[at:e])], e
@@ -384,15 +406,18 @@ class Tokenizer:
     def _lexical(self, seg, a, line):
         low = lowered(seg)
         for at in self.lexical.starts(low):
-            if _mark(seg[at]) or self._within(seg, at) and _alpha(seg[at]):
+            other_script = at > 0 and LATIN.match(seg[at - 1]) is not None and OWN_SYLLABLES.match(seg[at]) is not None
+            if _mark(seg[at]) or self._within(seg, at) and _alpha(seg[at]) and not other_script:
                 continue
             for e in self.lexical.ends(low, at):
+                if not self._whole(seg, at, e) or seg[e - 1] in QUOTES and SINGLE_S.match(seg, e):
+                    continue
                 for h in self.lexical.by[low[at:e]]:
                     clitic = h.tag.startswith("DECONTRACTION")
-                    if not (clitic and not _mark(seg[e : e + 1]) and (h.tag[-1] != "R" or not _alpha(seg[e : e + 1])) or self._apart(seg, at, e)):
+                    if not (clitic and not _mark(seg[e : e + 1]) and (h.tag[-1] != "R" or not _alpha(seg[e : e + 1])) or self._apart(seg, at, e) or other_script and not _alpha(seg[e : e + 1]) and not _mark(seg[e : e + 1])):
                         continue
                     after, before = seg[e : e + 1], seg[at - 1 : at] if at else ""
-                    if _num(after) or _num(before) and h.sem_class != "unit-of-measurement" or after == "-" and _alpha(seg[e - 1]) and _alpha(seg[e + 1 : e + 2]):
+                    if _num(after) and not h.after or _num(before) and h.sem_class != "unit-of-measurement" and not h.before or after == "-" and _alpha(seg[e - 1]) and _alpha(seg[e + 1 : e + 2]):
                         continue
                     if self._fits(h, line, a + at, a + e):
                         return [Token(a + at, a + e, h.tag or "LEXICAL", h.sem_class, seg[at:e])], LEFT_NEXT
@@ -413,7 +438,7 @@ class Tokenizer:
                         end += 1
                     start = at == 0 or seg[at - 1].isspace()
                     stop = end == len(seg) or seg[end].isspace()
-                    if not self._fits(h, line, a + at, a + end) or h.side == "start" and not start or h.side == "end" and not stop or _mark(seg[end : end + 1]):
+                    if not self._fits(h, line, a + at, a + end) or h.side == "start" and not start or h.side == "end" and not stop or _mark(seg[end : end + 1]) or not self._whole(seg, at, end):
                         continue
                     return [Token(a + at, a + end, {"both": "PUNCT", "start": "PUNCT-S", "end": "PUNCT-E"}[h.side], h.sem_class, seg[at:end])], SAME
         return None

@@ -200,7 +200,7 @@ def anomaly_letter_punct(spark, sf):
 
 
 def anomaly_letter_number(spark, sf):
-    return analysis.ranked(analysis.number_anomaly(words(spark, sf)), "doc_id").select("surf", "n", "more")
+    return analysis.ranked(analysis.number_anomaly(words(spark, sf)), "doc_id").select("surf", "n", F.array_join("locations", " ").alias("locations"), "more")
 
 
 def anomaly_no_period(spark, sf):
@@ -363,7 +363,7 @@ def detok_markup(spark, sf):
 
 
 def boost_rewrites(spark, sf):
-    return lines(spark, sf).select("doc_id", "line_no", analysis.boosted(F.col("text")).alias("text"))
+    return every_line(spark, sf).select("doc_id", "line_no", analysis.boosted(F.col("text")).alias("tokens"), analysis.boosted_text(F.col("text")).alias("text"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -419,9 +419,9 @@ ORACLE_SQL = {
     "rule_semi_join": f"{_W}, {_RULE_SQL} SELECT lang, count(*) AS n FROM word WHERE lower(surf) IN (SELECT head_lc FROM rule) GROUP BY 1",
     "anomaly_case": rf"{_B} SELECT surf, count(*) AS n FROM (SELECT surf FROM word UNION ALL SELECT surf FROM litword) WHERE regexp_matches(surf, '\p{{Ll}}\p{{Lu}}') AND NOT regexp_matches(surf, '^(?:Mac|Mc)\p{{Lu}}\p{{Ll}}+$') GROUP BY 1",
     "anomaly_letter_punct": rf"{_W} SELECT lang, surf, count(*) AS n FROM word WHERE regexp_matches(surf, '\p{{L}}') AND regexp_matches(surf, '\p{{P}}') AND NOT regexp_matches(surf, '^(?:\p{{L}}\.|''n''|&quot;)$') GROUP BY 1, 2",
-    "anomaly_letter_number": rf"{_W} SELECT surf, count(*) AS n, count(*) > 10 AS more FROM word WHERE regexp_matches(surf, '\p{{L}}') AND regexp_matches(surf, '\p{{N}}') GROUP BY 1",
+    "anomaly_letter_number": rf"{_W} SELECT surf, n, array_to_string(CASE WHEN n > 12 THEN places[1:10] ELSE places END, ' ') AS locations, n > 12 AS more FROM (SELECT surf, count(*) AS n, list_sort(list(doc_id)) AS places FROM word WHERE regexp_matches(surf, '\p{{L}}') AND regexp_matches(surf, '\p{{N}}') GROUP BY 1)",
     "anomaly_no_period": rf"{_W}, p AS (SELECT regexp_replace(surf, '[.]$', '') AS surf, regexp_matches(surf, '[^.][.]$') AS own, lead(surf) OVER (PARTITION BY doc_id, line_no ORDER BY tok_no) AS following FROM word) SELECT surf, count(*) AS total, CAST(count(*) FILTER (own OR following LIKE '.%') AS BIGINT) AS n FROM p WHERE length(surf) <= 4 AND regexp_matches(surf, '^\p{{L}}+$') GROUP BY 1 HAVING count(*) FILTER (own OR following LIKE '.%') >= 0.4 * count(*)",
-    "anomaly_around_numbers": rf"{_W}, near AS (SELECT surf, lag(surf) OVER w AS b, lead(surf) OVER w AS a FROM word WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY tok_no)) SELECT side, regexp_replace(near, '[0-9]', 'd', 'g') AS near, regexp_replace(surf, '[0-9]', 'd', 'g') AS number, count(*) AS n FROM (SELECT 'before' AS side, b AS near, surf FROM near UNION ALL SELECT 'after', a, surf FROM near) WHERE regexp_matches(surf, '^[0-9]') AND near IS NOT NULL AND NOT regexp_matches(near, '^\p{{L}}+$') GROUP BY 1, 2, 3",
+    "anomaly_around_numbers": rf"{_W}, near AS (SELECT surf, lag(surf) OVER w AS b, coalesce(lag(surf, 2) OVER w, '') AS bb, lead(surf) OVER w AS a FROM word WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY tok_no)) SELECT side, regexp_replace(second, '[0-9]', 'd', 'g') AS second, regexp_replace(near, '[0-9]', 'd', 'g') AS near, regexp_replace(surf, '[0-9]', 'd', 'g') AS number, count(*) AS n FROM (SELECT 'before' AS side, bb AS second, b AS near, surf FROM near UNION ALL SELECT 'after', '', a, surf FROM near) WHERE regexp_matches(surf, '^[0-9]') AND near IS NOT NULL AND NOT regexp_matches(near, '^\p{{L}}+$') GROUP BY 1, 2, 3, 4",
     "line_diff": f"WITH {_SQL_LINES}, {_SQL_LITERALS}, x AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, text AS before FROM line UNION ALL SELECT CAST(-id AS BIGINT), 1, text FROM lit) SELECT * FROM (SELECT doc_id, line_no, before, regexp_replace(translate(regexp_replace(before, '(?i)&(?:#160|#xa0|nbsp);', ' ', 'g'), chr(181)||chr(8228), chr(956)||'.'), ' +', ' ', 'g') AS after FROM x) WHERE before <> after",
     "block_diff": f"WITH {_SQL_LINES}, a AS (SELECT doc_id AS block, text, count(*) AS before FROM line GROUP BY 1, 2), b AS (SELECT doc_id AS block, regexp_replace(text, '[0-9]', 'd', 'g') AS text, count(*) AS after FROM line GROUP BY 1, 2) SELECT coalesce(a.block, b.block) AS block, coalesce(a.text, b.text) AS text, coalesce(before, 0) AS before, coalesce(after, 0) AS after FROM a FULL JOIN b ON a.block = b.block AND a.text = b.text WHERE coalesce(before, 0) <> coalesce(after, 0)",
     "block_numbers": "SELECT conv_id, block, count(*) AS n FROM (SELECT conv_id, CAST(sum(CASE WHEN role = 'user' OR starts_with(text, '::line') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM conversations) GROUP BY 1, 2",

@@ -35,3 +35,8 @@ def bad_lines(spark: SparkSession, text: str, detok: bool = False) -> DataFrame:
 
 def domain_table(spark: SparkSession, folder: str = rules.HERE) -> DataFrame:
     return spark.createDataFrame([(code, tier) for tier, codes in rules.domains(folder).items() for code in codes], "code string, reliability string")
+
+
+def reverse_index(rules_: DataFrame) -> DataFrame:
+    """the heads that stand for a target, by target."""
+    return rules_.where("target is not null").groupBy("target").agg(F.sort_array(F.collect_set("head")).alias("heads"))

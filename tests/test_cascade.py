@@ -73,6 +73,18 @@ def test_contexts_see_the_whole_line(tmp_path):
     assert classes("yes " + "x " * 40 + "small deal") == [("small deal", None)] and classes("no " + "x " * 40 + "small deal") == []
 
 
+def test_general_contexts(tmp_path):
+    """What isn't cut off: letters in quotes, chains with ampersands, Hebrew words, and abbreviations before single letters."""
+    (tmp_path / "eng.txt").write_text("::lexical c'\n::lexical AD\n::abbrev etc.\n::abbrev a.\n::lexical d'\n::lexical 한국\n::lexical mk ::right-context \\p{Nd}\n::punct-split \" ::side both\n::punct-split ' ::side both\n")
+    walk = Tokenizer("eng", str(tmp_path))
+    got = lambda text: walk.string(text)
+    assert got("IA&AD AD") == "IA&AD AD" and [t.type for t in walk.tokens("IA&AD AD")] == ["WORD-B", "LEXICAL"]
+    assert got("d's d'x") == "d 's d' x"
+    assert got("צה\"ל ok\"x") == "צה\"ל ok \" x"
+    assert [t.surf for t in walk.tokens("etc.x etc.xy") if t.type == "ABBREV"] == ["etc."] or got("etc.x") == "etc.x"
+    assert got("mk5 ABC한국") == "mk 5 ABC 한국"
+
+
 def test_phonetic_initials_before_a_space():
     mal = Tokenizer("mal")
     assert mal.tokens("എഫ്. ആണ്") == list(mal._line("എഫ്. ആണ്")) and mal.tokens("എഫ്. ആണ്")[0].type == "ABBREV-IP"

@@ -77,3 +77,53 @@ def test_windows_leave_late_rows_out(spark, tmp_path):
     assert (t, 2) in got and (t + dt.timedelta(hours=1), 1) in got
     sessions = streams.session_counts(spark.createDataFrame([(t, "a"), (t + dt.timedelta(minutes=10), "a"), (t + dt.timedelta(minutes=50), "a")], "ts timestamp, key string"), "ts", "key")
     assert sorted(r.n for r in sessions.collect()) == [1, 2]
+
+
+def test_boost_chains(spark):
+    """Tokens and texts of different styles come out the same."""
+    from sparkloom.operators import analysis
+
+    cases = [
+        ("a", "wow ! ! ! well @-@ known @\" hi \"@ @...", 'wow !!! well - known " hi " ...'), ("a", "didn 't ca n't wo n't cannot", "did n't can n't will n't can not"),
+        ("a", "don 't didn ’t we ' ll", "do n't did n’t we 'll"), ("a", "father @-@ in @-@ law l 'eau", "father - in - law l' eau"),
+        ("b", "well @-@ known , yes .", "well-known, yes."), ("b", "a ( b ) costs $ 5 or 5 % now", "a (b) costs $5 or 5% now"), ("b", "he 's here ; do n't can not go", "he's here; don't cannot go"), ("b", "x\u0092y&#160;z", "x’y z"),
+    ]
+    df = spark.createDataFrame([(i, k, x) for i, (k, x, _) in enumerate(cases)], "i int, k string, x string")
+    got = {r.i: (r.a if r.k == "a" else r.b) for r in df.select("i", "k", analysis.boosted(F.col("x")).alias("a"), analysis.boosted_text(F.col("x")).alias("b")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
+
+
+def test_block_context(spark):
+    import difflib
+
+    from sparkloom.operators import analysis
+
+    left = {"a": list("pqrstuvwxyz"), "b": ["same"], "c": ["only", "old"]}
+    right = {"a": list("pqrstXvwxyz"), "b": ["same"], "d": ["only new"]}
+    frame = lambda d: spark.createDataFrame([(k, i, x) for k, v in d.items() for i, x in enumerate(v)], "block string, line_no int, text string")
+    got = {r.block: r["diff"] for r in analysis.block_context(frame(left), frame(right)).collect()}
+    assert got == {k: "\n".join(list(difflib.unified_diff(left.get(k, []), right.get(k, []), n=3, lineterm=""))[2:]) for k in "acd"}
+    assert got["a"].count("\n") == 8
+
+
+def test_merged_rules_in_order(spark):
+    from sparkloom.operators import analysis
+
+    cols = "kind string, head string, target string, sem_class string, tag string"
+    a = spark.createDataFrame([("lexical", "b", "", "x", ""), ("abbrev", "Z.", "", None, "t"), ("abbrev", "A.", "", "m", "")], cols)
+    b = spark.createDataFrame([("lexical", "a", "", "x", ""), ("misspelling", "teh", "the", None, None), ("abbrev", "A.", "", None, "")], cols)
+    merged = analysis.merge_rules(a, b)
+    assert [r.head for r in analysis.in_rule_order(merged).collect()] == ["Z.", "A.", "teh", "a", "b"]
+    assert [r.value for r in analysis.rule_text(merged).collect()] == ["::abbrev Z. ::tag t", "::abbrev A. ::sem-class m", "::misspelling teh ::target the", "# ::lexical a ::sem-class x", "::lexical b ::sem-class x"]
+
+
+def test_reverse_index_and_versions(spark, tmp_path):
+    from sparkloom.operators import analysis
+    from sparkloom.sources import rule_files
+
+    index = {r.target: r.heads for r in rule_files.reverse_index(rule_files.rule_table(spark, "eng")).collect()}
+    assert "can't" in index["can n't"] and "cant" in index["can n't"]
+    df = spark.range(2)
+    for _ in range(11):
+        analysis.update_snapshot(df, f"{tmp_path}/kept")
+    assert analysis.versions(spark, f"{tmp_path}/kept") == [str(i) for i in range(1, 12)]

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sparkloom.functions.normalize import normalized
@@ -104,14 +105,14 @@ def test_rewrites_match_python(spark):
         return x
 
     assert rows(queries.detok_markup(spark, SF)) == sorted(((r.doc_id, r.line_no, unmarked(r.text)) for r in lines), key=repr)
-    boost = [(p, by.replace("$", "\\")) for p, by in analysis._BOOST]
 
-    def boosted(x):
-        for pattern, by in boost:
-            x = re.sub(pattern, by, x)
-        return x
+    def boosted(x, chain):
+        x = f" {x.strip(' ')} "
+        for pattern, by in chain:
+            x = regex.sub(pattern, by.replace("$", "\\"), x)
+        return x.strip(" ")
 
-    assert rows(queries.boost_rewrites(spark, SF)) == sorted(((r.doc_id, r.line_no, boosted(r.text)) for r in lines if r.doc_id >= 0), key=repr)
+    assert rows(queries.boost_rewrites(spark, SF)) == sorted(((r.doc_id, r.line_no, boosted(r.text, analysis.BOOST_TOKENS), boosted(r.text, analysis.BOOST_TEXT)) for r in lines), key=repr)
 
 
 def test_each_query_is_checked():
