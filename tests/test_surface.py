@@ -1,5 +1,6 @@
 """SQL functions, the command line and versions."""
 
+import io
 import json
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom import cli
 from sparkloom.functions import sql
 from sparkloom.operators import analysis
+from sparkloom.sources.lines import read_text
 
 
 def texts(spark, path):
@@ -39,7 +41,30 @@ def test_command_line(spark, tmp_path):
     run("detokenize", "-i", f"{tmp_path}/tok", "-o", f"{tmp_path}/back", "--lc", "eng", "-f")
     assert texts(spark, tmp_path / "back") == ["A1 She isn't in.", "", "A3 co-op \"x\""]
     with pytest.raises(SystemExit):
-        run("tokenize")
+        run("stem")
+
+
+def test_command_line_streams(spark, tmp_path, capsys, monkeypatch):
+    """STDIN and STDOUT, counts and annotation on STDERR, invalid bytes dropped."""
+    monkeypatch.setattr("sys.stdin", type("In", (), {"buffer": io.BytesIO("She isn't in.\n\nwell-k".encode() + b"\xff" + "nown &nbsp;x\n".encode())}))
+    cli.main(["tokenize", "--lc", "eng", "-v", "-c"], spark)
+    shown = capsys.readouterr()
+    assert shown.out.split("\n") == ["She is n't in .", "", "well @-@ known x", ""]
+    assert "3 lines, 9 tokens, 1 lines normalized" in shown.err and [json.loads(x)["ID"] for x in shown.err.split("\n") if x.startswith("{")] == ["1", "2", "3"]
+
+
+def test_lines_of_splits(spark, tmp_path):
+    """Line numbers follow the file, wherever its splits fall."""
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_bytes(b"\n".join([f"{name} line {i}".encode() + b"\xfe" * (i % 7 == 0) for i in range(1, 3001)]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = read_text(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len({r.path for r in rows}) == 2 and len(rows) == 6000
+    assert all(r.text == f"{r.path[-5]} line {r.line_no}" for r in rows)
 
 
 def test_versions(spark, tmp_path):
