@@ -48,8 +48,8 @@ TOTAL_BITS = 22
 TOTAL = 1 << TOTAL_BITS
 #: c of orders 0, 1 and 2.
 ESCAPE = (1, 3, 3)
-#: Groups of up to so many ids are counted by comparing all of them.
-SMALL, STEP = 128, 64
+#: Ids of a group that are compared with each other.
+STEP = 32
 #: Blocks that are counted together.
 TOGETHER = 4
 BLOCKS = "block bigint, doc_ids array<bigint>, counts array<int>, continued boolean, n int, checksum bigint, payload binary"
@@ -57,45 +57,36 @@ _LOW32 = 1 << 32
 
 
 def _smaller_before(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each place of each group (consecutive in x) the earlier places of the group with a smaller value."""
-    out = np.zeros(len(x), np.int64)
-    low = 1
-    while low < SMALL:
-        wide = low * 2
-        some = np.flatnonzero((sizes > low) & (sizes <= wide))
-        earlier = np.tri(wide, wide, -1, dtype=bool)
-        for part in np.array_split(some, max(1, -(-len(some) * wide * wide // (1 << 20)))):
-            if not len(part):
-                continue
-            at = starts[part, None] + np.arange(wide)
-            real = np.arange(wide) < sizes[part, None]
-            held = np.where(real, x[np.minimum(at, len(x) - 1)], np.iinfo(np.uint16).max).astype(np.uint16)
-            less = ((held[:, None, :] < held[:, :, None]) & earlier).view(np.uint8).sum(2, dtype=np.uint8)
-            out[at[real]] = less[real]
-        low = wide
-    large = np.flatnonzero(sizes > SMALL)
+    """For each place of each group (consecutive in x, values under 2**16) the earlier places of the group with a smaller value.
+
+    A group is taken in steps of STEP places: comparing the array with itself, moved by 1, 2, ... places,
+    counts within a step, and sums of what earlier steps had below a value give the rest."""
+    n = len(x)
+    within = np.arange(n, dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+    values = x.astype(np.uint16)
+    near = (within % STEP).astype(np.uint8)
+    less = np.zeros(n, np.uint8)
+    for d in range(1, min(STEP, int(sizes.max()) if len(sizes) else 0)):
+        smaller = values[:-d] < values[d:]
+        smaller &= near[d:] >= d
+        less[d:] += smaller.view(np.uint8)
+    out = less.astype(np.int64)
+    large = np.flatnonzero(sizes > STEP)
     if not len(large):
         return out
-    # larger groups in steps of STEP places: what earlier steps had below a value, and the smaller ones before it in its step
     starts, sizes = starts[large], sizes[large]
     steps = -(-sizes // STEP)
     at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
     base = np.repeat(np.cumsum(steps) - steps, sizes)
-    within = at - np.repeat(starts, sizes)
-    row, col = base + within // STEP, within % STEP
-    values = x[at]
-    held = np.full((int(steps.sum()), STEP), np.iinfo(np.uint16).max, np.uint16)
-    held[row, col] = values
-    less = ((held[:, None, :] < held[:, :, None]) & np.tri(STEP, STEP, -1, dtype=bool)).view(np.uint8).sum(2, dtype=np.uint8)
+    row = base + within[at] // STEP
     # values by their place among those that occur, as few columns as can be
-    there = np.zeros(int(values.max()) + 2, np.int32)
-    there[values + 1] = 1
-    rank = np.cumsum(there)[values]
-    wide = int(there.sum()) + 1
-    seen = np.bincount((row + 1) * wide + rank + 1, minlength=(len(held) + 1) * wide)[: (len(held) + 1) * wide].astype(np.int32).reshape(-1, wide)
+    there = np.zeros(int(x[at].max()) + 2, np.int32)
+    there[x[at] + 1] = 1
+    rank, wide, high = np.cumsum(there)[x[at]], int(there.sum()) + 1, int(steps.sum()) + 1
+    seen = np.bincount((row + 1) * wide + rank + 1, minlength=high * wide).astype(np.int32).reshape(-1, wide)
     np.cumsum(seen, 1, out=seen)
     np.cumsum(seen, 0, out=seen)
-    out[at] = seen[row, rank] - seen[base, rank] + less[row, col]
+    out[at] += seen[row, rank] - seen[base, rank]
     return out
 
 
