@@ -43,13 +43,15 @@ from sparkloom.llm import ask, common, op9_sentencepiece
 
 BLOCK = 8192
 #: Text whose blocks are coded in lockstep.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 TOTAL_BITS = 22
 TOTAL = 1 << TOTAL_BITS
 #: c of orders 0, 1 and 2.
 ESCAPE = (1, 3, 3)
-#: Ids of a group that are compared with each other.
-STEP = 32
+#: Ids of a group that are compared with each other, 256 at most.
+STEP = 128
+#: Values that are summed together.
+RUN = 16
 #: Blocks that are counted together.
 TOGETHER = 4
 BLOCKS = "block bigint, doc_ids array<bigint>, counts array<int>, continued boolean, n int, checksum bigint, payload binary"
@@ -57,36 +59,52 @@ _LOW32 = 1 << 32
 
 
 def _smaller_before(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each place of each group (consecutive in x, values under 2**16) the earlier places of the group with a smaller value.
+    """For each place of each group (consecutive in x, values and sizes under 2**16) the earlier places of the group with a smaller value.
 
-    A group is taken in steps of STEP places: comparing the array with itself, moved by 1, 2, ... places,
-    counts within a step, and sums of what earlier steps had below a value give the rest."""
-    n = len(x)
-    within = np.arange(n, dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+    Comparing the array with itself, moved by 1, 2, ... places, counts in groups of up to STEP places. Larger
+    ones are taken in steps of STEP; sums of what earlier steps had below a value give the rest."""
     values = x.astype(np.uint16)
-    near = (within % STEP).astype(np.uint8)
-    less = np.zeros(n, np.uint8)
-    for d in range(1, min(STEP, int(sizes.max()) if len(sizes) else 0)):
-        smaller = values[:-d] < values[d:]
-        smaller &= near[d:] >= d
-        less[d:] += smaller.view(np.uint8)
-    out = less.astype(np.int64)
-    large = np.flatnonzero(sizes > STEP)
-    if not len(large):
+    out = np.zeros(len(x), np.int32)
+    within = np.arange(len(x), dtype=np.int32) - np.repeat(starts, sizes)
+    left = sizes[sizes <= STEP]
+    places = np.flatnonzero(np.repeat(sizes <= STEP, sizes))
+    held, near, less, d = values[places], within[places].astype(np.uint8), np.zeros(len(places), np.uint8), 1
+    for stop in (4, 12, 36, STEP):
+        for d in range(d, min(stop, int(left.max(initial=0)))):
+            smaller = held[:-d] < held[d:]
+            smaller &= near[d:] >= d
+            less[d:] += smaller.view(np.uint8)
+        d = stop
+        out[places] = less
+        kept = np.repeat(left > d, left)  # from here on only groups of more places
+        places, less, held, near, left = places[kept], less[kept], held[kept], near[kept], left[left > d]
+    large = sizes > STEP
+    if not large.any():
         return out
-    starts, sizes = starts[large], sizes[large]
+    at, sizes = np.flatnonzero(np.repeat(large, sizes)), sizes[large]
     steps = -(-sizes // STEP)
-    at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
     base = np.repeat(np.cumsum(steps) - steps, sizes)
-    row = base + within[at] // STEP
-    # values by their place among those that occur, as few columns as can be
-    there = np.zeros(int(x[at].max()) + 2, np.int32)
-    there[x[at] + 1] = 1
-    rank, wide, high = np.cumsum(there)[x[at]], int(there.sum()) + 1, int(steps.sum()) + 1
-    seen = np.bincount((row + 1) * wide + rank + 1, minlength=high * wide).astype(np.int32).reshape(-1, wide)
-    np.cumsum(seen, 1, out=seen)
-    np.cumsum(seen, 0, out=seen)
-    out[at] += seen[row, rank] - seen[base, rank]
+    row, column, high = base + within[at] // STEP, within[at] % STEP, int(steps.sum()) + 1
+    held = np.full((STEP, high - 1), np.iinfo(np.uint16).max, np.uint16)
+    held[column, row] = values[at]
+    less = np.zeros(held.shape, np.uint8)
+    for d in range(1, STEP):
+        less[d:] += (held[:-d] < held[d:]).view(np.uint8)
+    # values by their place among those that occur, as few as can be; runs of them are summed first, then the runs
+    there = np.zeros(int(values[at].max()) + 2, np.int32)
+    there[values[at].astype(np.int32) + 1] = 1
+    rank = np.cumsum(there)[values[at]]
+    wide = int(there.sum()) // RUN + 1
+    run, part = (rank + 1) // RUN, (rank + 1) % RUN
+    seen = np.zeros((high, RUN, wide + 1), np.uint16)
+    np.add.at(seen.reshape(-1), ((row + 1) * RUN + part) * (wide + 1) + run, np.uint16(1))
+    for i in range(1, RUN):
+        seen[:, i] += seen[:, i - 1]
+    seen[:, :, 1:] += np.cumsum(seen[:, -1, :-1], 1, dtype=np.uint16)[:, None]
+    for above, below in zip(seen, seen[1:]):
+        below += above
+    run, part = rank // RUN, rank % RUN
+    out[at] = seen[row, part, run] - seen[base, part, run] + less[column, row]
     return out
 
 
@@ -95,50 +113,50 @@ def counted(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, n
 
     A sort by the ids of k + 1 places, and time, shows an order's repetitions; shifted by a place it has the groups of the next order."""
     rows, n = ids.shape
+    size = rows * n
     bits = max(1, int(n).bit_length())
     mask = (1 << bits) - 1
-    time, base = np.arange(n), np.arange(rows)[:, None] * n
+    time, base, every = np.arange(n), (np.arange(rows, dtype=np.int32) * n)[:, None], np.arange(size, dtype=np.int32)
     changes = lambda key: np.concatenate((np.ones((rows, 1), bool), key[:, 1:] != key[:, :-1]), 1)
+    ends = lambda heads: np.diff(np.append(heads, np.int32(size)))
     key = np.sort(ids.astype(np.int64) << bits | time, 1)
-    at = (key & mask) + base
+    at = ((key & mask).astype(np.int32) + base).ravel()
     new = changes(key >> bits)
     # ids by their rank among those of the block
-    rank = np.empty(rows * n, np.int64)
-    rank[at.ravel()] = (np.cumsum(new, 1) - 1).ravel()
+    rank = np.empty(size, np.int32)
+    rank[at] = (np.cumsum(new, 1, dtype=np.int32) - 1).ravel()
     back = [np.concatenate((np.full((rows, k), n, np.int64), rank.reshape(rows, n)[:, : max(0, n - k)]), 1)[:, :n] for k in range(3)]
-    group, heads = np.arange(rows * n), (np.arange(rows * n) % n == 0)
+    group, heads = every, every % n == 0
     out = []
     for k in range(3):
-        runs = np.flatnonzero(new)
-        same = np.empty(rows * n, np.int64)
-        same[at.ravel()] = np.arange(rows * n) - np.repeat(runs, np.diff(np.append(runs, rows * n)))
-        starts = np.flatnonzero(heads)
-        sizes = np.diff(np.append(starts, rows * n))
-        before = np.arange(rows * n) - np.repeat(starts, sizes)
+        runs = np.flatnonzero(new).astype(np.int32)
+        same = np.empty(size, np.int32)
+        same[at] = every - np.repeat(runs, ends(runs))
+        starts = np.flatnonzero(heads).astype(np.int32)
+        sizes = ends(starts)
         less = _smaller_before(rank[group], starts, sizes)
         once = same[group] == 0
-        fresh = np.cumsum(once)
-        kinds = fresh - once - np.repeat(fresh[starts] - once[starts], sizes)
-        put = np.empty((3, rows * n), np.int64)
-        put[:, group] = before, less, kinds
+        fresh = np.cumsum(once, dtype=np.int32)
+        put = np.empty((3, size), np.int32)
+        put[0, group] = every - np.repeat(starts, sizes)
+        put[1, group] = less
+        put[2, group] = fresh - once - np.repeat(fresh[starts] - once[starts], sizes)
         out.append((put[0], put[1], same, put[2]))
         if k == 2:
             break
         # the next order: this order's runs of one place before; the block's last place has no next, its first k + 1 have no context
-        shown = at.ravel()
-        follow = shown % n < n - 1
-        parts = np.cumsum(new.ravel())[follow]
-        lone = (base + np.arange(min(k + 1, n))).ravel()
-        after = shown[follow] + 1
-        real = after % n > k
-        group = np.concatenate((lone, after[real]))
-        part = np.concatenate((-1 - np.arange(len(lone)), parts[real]))
-        heads = np.concatenate(([True], part[1:] != part[:-1]))
+        within = at - np.repeat(base.ravel(), n)
+        real = (within < n - 1) & (within >= k)
+        lone = (base + np.arange(min(k + 1, n), dtype=np.int32)).ravel()
+        group = np.concatenate((lone, at[real] + 1))
+        part = np.cumsum(new.ravel(), dtype=np.int32)[real]
+        heads = np.ones(size, bool)
+        heads[len(lone) + 1 :] = part[1:] != part[:-1]
         wide = back[k + 1]
         for i in range(k, -1, -1):
             wide = wide << bits | back[i]
         key = np.sort(wide << bits | time, 1)
-        at = (key & mask) + base
+        at = ((key & mask).astype(np.int32) + base).ravel()
         new = changes(key >> bits)
     return out
 
