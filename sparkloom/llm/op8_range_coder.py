@@ -66,45 +66,49 @@ def _smaller_before(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
     values = x.astype(np.uint16)
     out = np.zeros(len(x), np.int32)
     within = np.arange(len(x), dtype=np.int32) - np.repeat(starts, sizes)
-    left = sizes[sizes <= STEP]
-    places = np.flatnonzero(np.repeat(sizes <= STEP, sizes))
-    held, near, less, d = values[places], within[places].astype(np.uint8), np.zeros(len(places), np.uint8), 1
-    for stop in (4, 12, 36, STEP):
+    small = (sizes > 1) & (sizes <= STEP)
+    left, places = sizes[small], np.flatnonzero(np.repeat(small, sizes))
+    # a value of an earlier group is never the smaller one
+    held = values[places] | np.repeat(np.arange(len(left), 0, -1, dtype=np.uint32) << np.uint32(16), left)
+    less, d = np.zeros(len(places), np.uint8), 1
+    for stop in (3, 10, 36, STEP):
         for d in range(d, min(stop, int(left.max(initial=0)))):
-            smaller = held[:-d] < held[d:]
-            smaller &= near[d:] >= d
-            less[d:] += smaller.view(np.uint8)
+            less[d:] += (held[:-d] < held[d:]).view(np.uint8)
         d = stop
         out[places] = less
         kept = np.repeat(left > d, left)  # from here on only groups of more places
-        places, less, held, near, left = places[kept], less[kept], held[kept], near[kept], left[left > d]
+        places, less, held, left = places[kept], less[kept], held[kept], left[left > d]
     large = sizes > STEP
     if not large.any():
         return out
     at, sizes = np.flatnonzero(np.repeat(large, sizes)), sizes[large]
     steps = -(-sizes // STEP)
     base = np.repeat(np.cumsum(steps) - steps, sizes)
-    row, column, high = base + within[at] // STEP, within[at] % STEP, int(steps.sum()) + 1
+    some, values, high = within[at], values[at], int(steps.sum()) + 1
+    row = base + some // STEP
+    cell = some % STEP * (high - 1) + row
     held = np.full((STEP, high - 1), np.iinfo(np.uint16).max, np.uint16)
-    held[column, row] = values[at]
+    held.reshape(-1)[cell] = values
     less = np.zeros(held.shape, np.uint8)
     for d in range(1, STEP):
         less[d:] += (held[:-d] < held[d:]).view(np.uint8)
     # values by their place among those that occur, as few as can be; runs of them are summed first, then the runs
-    there = np.zeros(int(values[at].max()) + 2, np.int32)
-    there[values[at].astype(np.int32) + 1] = 1
-    rank = np.cumsum(there)[values[at]]
-    wide = int(there.sum()) // RUN + 1
-    run, part = (rank + 1) // RUN, (rank + 1) % RUN
-    seen = np.zeros((high, RUN, wide + 1), np.uint16)
-    np.add.at(seen.reshape(-1), ((row + 1) * RUN + part) * (wide + 1) + run, np.uint16(1))
+    there = np.zeros(int(values.max()) + 1, np.int64)
+    there[values] = 1
+    rank = np.cumsum(there)
+    runs = int(rank[-1]) // RUN + 1
+    # where a value is counted, and where the sum of those below it is
+    own, below = ((x % RUN * runs + x // RUN)[values] for x in (rank, rank - 1))
+    seen = np.zeros((high, RUN, runs), np.uint16)
+    size = RUN * runs
+    np.add.at(seen.reshape(-1), (row + 1) * size + own, np.uint16(1))
     for i in range(1, RUN):
         seen[:, i] += seen[:, i - 1]
     seen[:, :, 1:] += np.cumsum(seen[:, -1, :-1], 1, dtype=np.uint16)[:, None]
-    for above, below in zip(seen, seen[1:]):
-        below += above
-    run, part = rank // RUN, rank % RUN
-    out[at] = seen[row, part, run] - seen[base, part, run] + less[column, row]
+    for over, under in zip(seen, seen[1:]):
+        under += over
+    flat = seen.reshape(-1)
+    out[at] = flat[row * size + below] - flat[base * size + below] + less.reshape(-1)[cell]
     return out
 
 
@@ -137,10 +141,10 @@ def counted(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, n
         less = _smaller_before(rank[group], starts, sizes)
         once = same[group] == 0
         fresh = np.cumsum(once, dtype=np.int32)
-        put = np.empty((3, size), np.int32)
-        put[0, group] = every - np.repeat(starts, sizes)
-        put[1, group] = less
-        put[2, group] = fresh - once - np.repeat(fresh[starts] - once[starts], sizes)
+        put = [np.empty(size, np.int32) for _ in range(3)]
+        put[0][group] = every - np.repeat(starts, sizes)
+        put[1][group] = less
+        put[2][group] = fresh - once - np.repeat(fresh[starts] - once[starts], sizes)
         out.append((put[0], put[1], same, put[2]))
         if k == 2:
             break
