@@ -2,6 +2,7 @@
 
 import io
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom import cli
 from sparkloom.functions import sql
 from sparkloom.operators import analysis
+from sparkloom.plans import queries
 from sparkloom.sources.lines import read_text
 
 
@@ -72,3 +74,17 @@ def test_versions(spark, tmp_path):
     assert spark.read.parquet(analysis.snapshot(df, str(tmp_path), "1.0")).count() == 1
     with pytest.raises(Exception, match="already exists"):
         analysis.snapshot(df, str(tmp_path), "1.0")
+
+
+def test_entry_leaves_out_what_cannot_be_imported(monkeypatch):
+    import __spark_entry__ as entry
+
+    whole = set(entry.queries())
+    assert set(queries.QUERIES) <= whole
+    if entry._llm is None:
+        return
+    monkeypatch.setitem(sys.modules, "sparkloom.llm.op4_compression", None)
+    with pytest.warns(UserWarning, match="op4"):
+        assert set(entry.queries()) == whole - {"op4_compression_bands"}
+    with pytest.warns(UserWarning, match="op4"):
+        assert "token_type_counts" in entry.oracle_sql()
