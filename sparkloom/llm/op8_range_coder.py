@@ -48,129 +48,131 @@ TOTAL_BITS = 22
 TOTAL = 1 << TOTAL_BITS
 #: c of orders 0, 1 and 2.
 ESCAPE = (1, 3, 3)
-#: Ids of a group that are compared with each other, 256 at most.
-STEP = 128
-#: Values that are summed together.
-RUN = 16
+#: Ids of a group that are compared at once, as the bits of a number.
+LANES = 64
 #: Blocks that are counted together.
 TOGETHER = 4
 BLOCKS = "block bigint, doc_ids array<bigint>, counts array<int>, continued boolean, n int, checksum bigint, payload binary"
 _LOW32 = 1 << 32
-
-
-def _smaller_before(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each place of each group (consecutive in x, values and sizes under 2**16) the earlier places of the group with a smaller value.
-
-    Comparing the array with itself, moved by 1, 2, ... places, counts in groups of up to STEP places. Larger
-    ones are taken in steps of STEP; sums of what earlier steps had below a value give the rest."""
-    values = x.astype(np.uint16)
-    out = np.zeros(len(x), np.int32)
-    within = np.arange(len(x), dtype=np.int32) - np.repeat(starts, sizes)
-    small = (sizes > 1) & (sizes <= STEP)
-    left, places = sizes[small], np.flatnonzero(np.repeat(small, sizes))
-    # a value of an earlier group is never the smaller one
-    held = values[places] | np.repeat(np.arange(len(left), 0, -1, dtype=np.uint32) << np.uint32(16), left)
-    less, d = np.zeros(len(places), np.uint8), 1
-    for stop in (3, 10, 36, STEP):
-        for d in range(d, min(stop, int(left.max(initial=0)))):
-            less[d:] += (held[:-d] < held[d:]).view(np.uint8)
-        d = stop
-        out[places] = less
-        kept = np.repeat(left > d, left)  # from here on only groups of more places
-        places, less, held, left = places[kept], less[kept], held[kept], left[left > d]
-    large = sizes > STEP
-    if not large.any():
-        return out
-    at, sizes = np.flatnonzero(np.repeat(large, sizes)), sizes[large]
-    steps = -(-sizes // STEP)
-    base = np.repeat(np.cumsum(steps) - steps, sizes)
-    some, values, high = within[at], values[at], int(steps.sum()) + 1
-    row = base + some // STEP
-    cell = some % STEP * (high - 1) + row
-    held = np.full((STEP, high - 1), np.iinfo(np.uint16).max, np.uint16)
-    held.reshape(-1)[cell] = values
-    less = np.zeros(held.shape, np.uint8)
-    for d in range(1, STEP):
-        less[d:] += (held[:-d] < held[d:]).view(np.uint8)
-    # values by their place among those that occur, as few as can be; runs of them are summed first, then the runs
-    there = np.zeros(int(values.max()) + 1, np.int64)
-    there[values] = 1
-    rank = np.cumsum(there)
-    runs = int(rank[-1]) // RUN + 1
-    # where a value is counted, and where the sum of those below it is
-    own, below = ((x % RUN * runs + x // RUN)[values] for x in (rank, rank - 1))
-    seen = np.zeros((high, RUN, runs), np.uint16)
-    size = RUN * runs
-    np.add.at(seen.reshape(-1), (row + 1) * size + own, np.uint16(1))
-    for i in range(1, RUN):
-        seen[:, i] += seen[:, i - 1]
-    seen[:, :, 1:] += np.cumsum(seen[:, -1, :-1], 1, dtype=np.uint16)[:, None]
-    for over, under in zip(seen, seen[1:]):
-        under += over
-    flat = seen.reshape(-1)
-    out[at] = flat[row * size + below] - flat[base * size + below] + less.reshape(-1)[cell]
-    return out
+_ONE = np.uint64(1)
+
+
+def _lower(key: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of keys with a different lane (their low bits, after turn) each: the rows sorted, and how many of those before a key have a lower lane.
+
+    The lanes that came before are the bits of one number."""
+    key = np.sort(key, 1) ^ np.uint32(turn)
+    bit = _ONE << (key & np.uint32(LANES - 1)).astype(np.uint64)
+    seen = np.cumsum(bit, 1) - bit
+    return key, np.bitwise_count(seen & (bit - _ONE))
+
+
+def _both_before(time: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each member of groups (consecutive, in the groups' order; time is a permutation of 0, 1, ... in each) how many of its group come before it in both order and time.
+
+    Order and time are taken in steps of LANES. Before it in both are: the lower ones of its step of time, those of its
+    step of the order from earlier steps of time, and all of a lower step in both, which sums over a table of the steps give."""
+    steps = -(-sizes // LANES)
+    base = np.repeat((np.cumsum(steps) - steps) * LANES, steps)[:, None]
+    local = np.arange(len(base) * LANES).reshape(-1, LANES) - base
+    # a group's last step is filled with members that come last in both
+    held = local < np.repeat(sizes, steps)[:, None]
+    padded = local.copy()
+    padded[held] = time
+    order, out = np.empty(local.size, np.uint32), np.empty(local.size, np.int32)
+    order[(padded + base).ravel()] = local.ravel()
+    lane, step = np.arange(LANES, dtype=np.uint32), padded // LANES
+    key, less = _lower(order.reshape(-1, LANES) * np.uint32(LANES) | lane)
+    out[(base + key // LANES).ravel()] = less.ravel()
+    key, less = _lower(step.astype(np.uint32) * np.uint32(LANES) | lane[::-1], LANES - 1)
+    more = np.empty(local.size, np.uint8)
+    more[(key % LANES + np.arange(0, local.size, LANES)[:, None]).ravel()] = less.ravel()
+    out = (out + more).reshape(-1, LANES)
+    # tables of groups of about as many steps have one size
+    near = np.frexp(steps - 1)[1] // 2
+    for size in np.flatnonzero(np.bincount(near)):
+        some = near == size
+        rows = np.flatnonzero(np.repeat(some, steps))
+        count, wide = int(some.sum()), int(steps[some].max()) + 1
+        group = np.repeat(np.arange(count), steps[some])[:, None]
+        own = local[rows, :1] // LANES
+        cell = (step[rows] * count + group) * wide + own
+        table = np.bincount((cell + count * wide + 1).ravel(), minlength=count * wide * wide).astype(np.uint16).reshape(wide, count, wide)
+        for over, under in zip(table, table[1:]):
+            under += over
+        out[rows] += np.cumsum(table, 2, dtype=np.uint16).reshape(-1).take(cell)
+    return out[held]
 
 
 def counted(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each order, and each place of blocks of one length (rows): of what followed the place's context in its block before, how many ids, smaller ones, the same, and different ones.
 
-    A sort by the ids of k + 1 places, and time, shows an order's repetitions; shifted by a place it has the groups of the next order."""
+    A sort by the ids of k + 1 places, and time, shows an order's repetitions; shifted by a place it has the groups of the next order.
+    Both have a group's places at the same stretch, there by id and here by time."""
     rows, n = ids.shape
     size = rows * n
     bits = max(1, int(n).bit_length())
     mask = (1 << bits) - 1
-    time, base, every = np.arange(n), (np.arange(rows, dtype=np.int32) * n)[:, None], np.arange(size, dtype=np.int32)
-    changes = lambda key: np.concatenate((np.ones((rows, 1), bool), key[:, 1:] != key[:, :-1]), 1)
-    ends = lambda heads: np.diff(np.append(heads, np.int32(size)))
+    time, base, every = np.arange(n), (np.arange(rows) * n)[:, None], np.arange(size, dtype=np.int32)
+    changes = lambda key: np.concatenate((np.ones((rows, 1), bool), key[:, 1:] != key[:, :-1]), 1).ravel()
+    since = lambda heads: np.maximum.accumulate(every * heads)
     key = np.sort(ids.astype(np.int64) << bits | time, 1)
-    at = ((key & mask).astype(np.int32) + base).ravel()
-    new = changes(key >> bits)
     # ids by their rank among those of the block
-    rank = np.empty(size, np.int32)
-    rank[at] = (np.cumsum(new, 1, dtype=np.int32) - 1).ravel()
+    rank, new = np.empty(size, np.int64), changes(key >> bits)
+    rank[((key & mask) + base).ravel()] = (np.cumsum(new.reshape(rows, n), 1) - 1).ravel()
     back = [np.concatenate((np.full((rows, k), n, np.int64), rank.reshape(rows, n)[:, : max(0, n - k)]), 1)[:, :n] for k in range(3)]
-    group, heads = every, every % n == 0
-    out = []
+    group, heads = np.arange(size), every % n == 0
+    out, rest = [], []
     for k in range(3):
-        runs = np.flatnonzero(new).astype(np.int32)
-        same = np.empty(size, np.int32)
-        same[at] = every - np.repeat(runs, ends(runs))
-        starts = np.flatnonzero(heads).astype(np.int32)
-        sizes = ends(starts)
-        less = _smaller_before(rank[group], starts, sizes)
-        once = same[group] == 0
-        fresh = np.cumsum(once, dtype=np.int32)
-        put = [np.empty(size, np.int32) for _ in range(3)]
-        put[0][group] = every - np.repeat(starts, sizes)
-        put[1][group] = less
-        put[2][group] = fresh - once - np.repeat(fresh[starts] - once[starts], sizes)
-        out.append((put[0], put[1], same, put[2]))
+        within = key & mask
+        at = (within + base).ravel()
+        start, starts = since(heads), np.flatnonzero(heads)
+        sizes = np.diff(np.append(starts, size))
+        put = [np.empty(size, np.int32) for _ in range(4)]
+        put[0][group] = every - start
+        repeated = every - since(new)
+        put[2][at] = repeated
+        # the ids of a group that came before in its order are bits of one number, by time; of the same id, all of them
+        past = put[0].take(at)
+        large = sizes > LANES
+        if large.all():
+            rest.append((put[1], at, past, repeated, sizes))
+        else:
+            bit = _ONE << past.astype(np.uint64)
+            seen = np.cumsum(bit) - bit
+            put[1][at] = np.bitwise_count((seen - seen.take(start)) & (bit - _ONE)) - repeated
+            if large.any():
+                among = op9_sentencepiece.ragged(starts[large], sizes[large])
+                rest.append((put[1], at.take(among), past.take(among), repeated.take(among), sizes[large]))
+        once = put[2].take(group) == 0
+        fresh = np.cumsum(once, dtype=np.int32) - once
+        put[3][group] = fresh - fresh.take(start)
+        out.append(tuple(put))
         if k == 2:
             break
-        # the next order: this order's runs of one place before; the block's last place has no next, its first k + 1 have no context
-        within = at - np.repeat(base.ravel(), n)
+        # the next order: this order's runs of one place before; the block's last place has no next, its first k + 1 have no context and sort behind
         real = (within < n - 1) & (within >= k)
-        lone = (base + np.arange(min(k + 1, n), dtype=np.int32)).ravel()
-        group = np.concatenate((lone, at[real] + 1))
-        part = np.cumsum(new.ravel(), dtype=np.int32)[real]
-        heads = np.ones(size, bool)
-        heads[len(lone) + 1 :] = part[1:] != part[:-1]
+        lone = base + np.arange(min(k + 1, n))[::-1]
+        group = np.concatenate(((at[real.ravel()] + 1).reshape(rows, max(0, n - 1 - k)), lone), 1).ravel()
         wide = back[k + 1]
         for i in range(k, -1, -1):
             wide = wide << bits | back[i]
         key = np.sort(wide << bits | time, 1)
-        at = ((key & mask).astype(np.int32) + base).ravel()
-        new = changes(key >> bits)
+        new, heads = changes(key >> bits), changes(key >> 2 * bits)
+    if rest:
+        less, a = _both_before(*(np.concatenate(x) for x in list(zip(*rest))[2::2])), 0
+        for into, at, _, repeated, _ in rest:
+            into[at] = less[a : a + len(at)] - repeated
+            a += len(at)
     return out
 
 
 def intervals(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and width, out of TOTAL, of each id of blocks of one length (rows)."""
-    x = ids.astype(np.int64).ravel()
-    low, high, left = x.copy(), x + 1, np.full(len(x), TOTAL - vocabulary, np.int64)
-    # quotients of numbers this small are exact in floating point when rounded down
-    share = lambda w, part, whole: (w * part / whole).astype(np.int64)
+    # whole numbers this small, and their quotients rounded down, are exact in floating point
+    x = ids.astype(np.float64).ravel()
+    low, high, left = x.copy(), x + 1, np.full(len(x), float(TOTAL - vocabulary))
+    share = lambda w, part, whole: np.floor(w * part / whole)
     for c, (n, less, same, kinds) in list(zip(ESCAPE, counted(ids)))[::-1]:
         w = share(left, n, np.maximum(n + c * kinds, 1))
         n = np.maximum(n, 1)
@@ -179,7 +181,7 @@ def intervals(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]
         left -= w
     low += share(left, x, vocabulary)
     high += share(left, x + 1, vocabulary)
-    return low.reshape(ids.shape), (high - low).reshape(ids.shape)
+    return low.astype(np.int64).reshape(ids.shape), (high - low).astype(np.int64).reshape(ids.shape)
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
@@ -193,22 +195,25 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         for part in (of[i : i + TOGETHER] for i in range(0, len(of), TOGETHER)):
             low, width = intervals(np.stack([blocks[k] for k in part]), vocabulary)
             start[:n, part], size[:n, part] = low.T, width.T
-    low, span, count = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.int64)
-    words = np.zeros((lanes, steps * TOTAL_BITS // 32 + 4), np.uint64)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    full, carry = np.empty((steps, lanes), bool), np.empty((steps, lanes), bool)
     bits, half, least = np.uint64(TOTAL_BITS), np.uint64(32), np.uint64(_LOW32)
     for t in range(steps):
         part = span >> bits
         more = low + part * start[t]
-        carry = np.flatnonzero(more < low)
-        if len(carry):
-            words[carry, count[carry] - 1] += np.uint64(1)
-        low, span = more, part * size[t]
-        full = np.flatnonzero(span < least)
-        if len(full):
-            words[full, count[full]] = low[full] >> half
-            count[full] += 1
-            low[full] <<= half
-            span[full] <<= half
+        np.less(more, low, out=carry[t])
+        span = part * size[t]
+        shift = np.less(span, least, out=full[t]) * half
+        start[t] = more  # its upper half is given out if the step is full
+        low, span = more << shift, span << shift
+    words, count = np.zeros((lanes, steps * TOTAL_BITS // 32 + 4), np.uint64), np.zeros(lanes, np.int32)
+    for a in range(0, steps, 1024):
+        some, over = np.flatnonzero(full[a : a + 1024]), np.flatnonzero(carry[a : a + 1024])
+        place = np.cumsum(full[a : a + 1024], 0, dtype=np.int32) + count
+        words[some % lanes, place.ravel().take(some) - 1] = start[a : a + 1024].ravel().take(some) >> half
+        # a carry goes to the last word that was given out before its step
+        np.add.at(words, (over % lanes, place.ravel().take(over) - full[a : a + 1024].ravel().take(over) - 1), _ONE)
+        count = place[-1]
     k = np.arange(lanes)
     words[k, count] = low >> half
     words[k, count + 1] = low & np.uint64(_LOW32 - 1)

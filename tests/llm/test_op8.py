@@ -56,6 +56,26 @@ def test_intervals_match_brute_force(v):
             assert list(zip(low[k].tolist(), width[k].tolist())) == brute(both[k].tolist(), v)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_members_before_in_both(seed):
+    """Groups of any size around whole steps, and of very different sizes together."""
+    rng = np.random.default_rng(seed)
+    sizes = rng.permutation([1, 2, 63, 64, 65, 127, 128, 129, 320, 321, 1100, 4097])
+    made = [rng.permutation(n) for n in sizes] if seed else [np.arange(n)[::-1] if n % 2 else np.arange(n) for n in sizes]
+    want = [int((x[:i] < x[i]).sum()) for x in made for i in range(len(x))]
+    assert op._both_before(np.concatenate(made), sizes).tolist() == want
+
+
+def test_large_contexts_match_brute_force():
+    """Contexts that more than 64, and more than 128, ids follow, in all orders."""
+    rng = np.random.default_rng(5)
+    a = np.stack([np.zeros(700, np.int64), rng.integers(0, 2, 700), rng.integers(0, 40, 700)])
+    a[0, 2::3], a[2, ::2] = rng.integers(0, 600, 233), 7
+    low, width = op.intervals(a, 600)
+    for k in range(3):
+        assert list(zip(low[k].tolist(), width[k].tolist())) == brute(a[k].tolist(), 600)
+
+
 def test_payload_is_the_exact_number():
     for seed in range(4):
         ids = np.minimum(np.random.default_rng(seed).zipf(1.5, 300), 500) - 1
