@@ -42,6 +42,8 @@ from sparkloom.llm import ask, common
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 GIANT_BYTES = 1 << 16
+#: Units that the library gets as one text.
+TOGETHER = 32
 CUT_BYTES = 1 << 14
 ENCODED = "doc_id bigint, n_tokens int, ids array<int>, exact boolean"
 _NONE = -np.inf
@@ -116,6 +118,32 @@ def _encode_units(units: list[bytes], path: str) -> list[list[int]]:
     return out
 
 
+def _encode_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the units at these places of data, and the number of each one's. Data goes on behind each.
+
+    The library gets some units as one text, with a line feed before each; none but a unit of its own holds one."""
+    sp = model(path)
+    feed = sp.piece_to_id("<0x0A>")
+    alone = (ends - starts == 1) & (data[starts] == 10)
+    lengths = (ends - starts)[~alone] + 1
+    at = np.concatenate(([0], np.cumsum(lengths)))
+    joined = np.concatenate((data[:1], data[ragged(starts[~alone], lengths)]))
+    joined[at] = 10
+    raw, cuts = joined.tobytes(), [*at[:-1:TOGETHER].tolist(), int(at[-1])]
+    found = sp.encode([raw[a:b].decode() for a, b in itertools.pairwise(cuts)], num_threads=1)
+    # without the space that the library adds to each text
+    ids = np.fromiter(itertools.chain.from_iterable(x[1:] for x in found), np.int32, sum(map(len, found)) - len(found))
+    heads = np.flatnonzero(ids == feed)
+    size = np.ones(len(starts), np.int64)
+    size[~alone] = np.diff(np.append(heads, len(ids))) - 1
+    keep = ids != feed
+    if alone.any():
+        out = np.full(int(size.sum()), feed, np.int32)
+        out[np.repeat(~alone, size)] = ids[keep]
+        return out, size
+    return ids[keep], size
+
+
 @functools.lru_cache(4)
 def _lone(path: str) -> list[int]:
     """A single space: what the library puts before a line feed."""
@@ -138,13 +166,12 @@ class Units:
             return np.arange(len(h))
         return np.flatnonzero(self.hash[np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)] != h)
 
-    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
-        """h is sorted and new."""
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+    def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """h is sorted and new; all ids, and the number of each one's."""
         at = len(self.pool) + np.cumsum(size) - size
         place = np.searchsorted(self.hash, h)
         self.hash, self.at, self.size = (np.insert(x, place, y) for x, y in ((self.hash, h), (self.at, at), (self.size, size)))
-        self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size.sum()))])
+        self.pool = np.concatenate([self.pool, ids])
 
 
 @functools.lru_cache(1)
@@ -176,19 +203,24 @@ def encoded(texts: list[pa.Array], path: str = MODEL) -> tuple[np.ndarray, np.nd
         flats.append(data)
         base += len(column)
     h, place, doc = np.concatenate(hashes), np.concatenate(places), np.concatenate(owner)
-    order = np.argsort(h)
-    new = np.ones(len(h), bool)
-    new[1:] = h[order[1:]] != h[order[:-1]]
-    first, which = order[new], np.empty(len(h), np.int64)
-    which[order] = np.cumsum(new) - 1
-    raw = [x.tobytes() for x in flats]
-    keys = h[first]
+    # the distinct units are few, so only they are sorted
+    found = pa.array(h).dictionary_encode()
+    keys = found.dictionary.to_numpy()
+    order = np.argsort(keys)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    keys, which = keys[order], rank[found.indices.to_numpy()]
+    first = np.empty(len(keys), np.int64)  # a place of each
+    first[which] = np.arange(len(h))
     kept = _kept(path)
     if len(kept[0].hash) > Units.MOST:
         kept[0] = Units()
     units = kept[0]
     new = units.lacking(keys)
-    units.add(keys[new], _encode_units([raw[f][a:b] for f, a, b in place[first[new]].tolist()], path))
+    if len(new):
+        part, a, b = place[first[new]].T
+        shift = (np.cumsum([0, *map(len, flats)])[:-1])[part]
+        units.add(keys[new], *_encode_spans(np.concatenate(flats), a + shift, b + shift, path))
     found = np.searchsorted(units.hash, keys)
     sizes, starts = units.size[found], units.at[found]
     lengths = sizes[which]

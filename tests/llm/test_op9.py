@@ -89,5 +89,17 @@ def test_long_units_are_cut(spark):
     assert all(len(op.cut_points(t.encode(), op.CUT_BYTES)) > 4 for _, t, *_ in rows)
 
 
+def test_units_encoded_together_are_the_units():
+    """Units of many in one text, line feeds among them, first and last, and none at all."""
+    units = [b"\n", b" ", b"   ", b" the", b"the", "  é½漢🙂".encode(), b"\t\r", " ▁x".encode(), b"\x00", b"a" * 300] * 9
+    for given in (units, units[1:], units[:1], units[3:] + units[:1], []):
+        data = np.frombuffer(b"".join(given) + b"\n", np.uint8)
+        lengths = np.array([len(u) for u in given], np.int64)
+        ids, size = op._encode_spans(data, np.cumsum(lengths) - lengths, np.cumsum(lengths), op.MODEL)
+        want = op._encode_units(given, op.MODEL)
+        assert size.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+
+
 def test_empty_table(spark):
     assert op.encode(spark.createDataFrame([], ROWS)).count() == 0
