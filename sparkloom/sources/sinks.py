@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from json.encoder import encode_basestring as _quoted
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.cascade import Form
+
 CHART = "array<struct<span:string,type:string,`sem-class`:string,surf:string>>"
 
 
@@ -42,6 +46,17 @@ def annotation_to_double_colon(json: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.array(head), rows))
 
 
+#: annotation() and double_colon() in the tokenizer's worker. Normalized lines have no control characters that JSON's writers escape in different ways.
+JSON = Form(
+    '{"span":"', lambda t: f'","type":{_quoted(t.type)},' + (f'"sem-class":{_quoted(t.sem_class)},' if t.sem_class is not None else "") + f'"surf":{_quoted(t.surf)}}}', ",",
+    lambda i, snt, chart: "{" + (f'"ID":{_quoted(i)},' if i is not None else "") + f'"snt":{_quoted(snt)},"chart":[{chart}]}}',
+)
+DOUBLE_COLON = Form(
+    "::span ", lambda t: f" ::type {t.type}" + (f" ::sem-class {t.sem_class}" if t.sem_class is not None else "") + f" ::surf {t.surf}", "\n",
+    lambda i, snt, chart: "\n".join([*([f"::line {i} ::s {snt}"] if i is not None else []), *([chart] if chart else [])]),
+)
+
+
 def blocks(lines: DataFrame, *keys: str) -> DataFrame:
     """Lines of double-colon files (text, line_no) with block: the number of the header before them in their file.
 

@@ -178,7 +178,7 @@ def test_counts_without_tokens(spark):
     df = spark.createDataFrame(rows, "id int, text string, lang string")
     want = exploded(tokenized(df), "id", "lang").groupBy("id", "lang", "type", "sem_class").count()
     assert sorted(map(repr, map(tuple, counted(df, "id", "lang").collect()))) == sorted(map(repr, map(tuple, want.collect())))
-    for q in (queries.tokenize_pages,):
+    for q in (queries.tokenize_pages, queries.token_chart_types):
         assert "orig_surf" not in q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().treeString()
 
 
