@@ -126,3 +126,11 @@ def test_pushdown(spark):
     assert set(read.split(",")) == {"lang:string", "text:string"}
     plan = queries.extract_emails(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_rules_are_broadcast(spark):
+    """A table of rules made in the driver is broadcast, so that n-grams aren't shuffled; one that is too large isn't."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = plan(queries.rule_join_longest_match(spark, SF))
+    assert "BroadcastHashJoin" in found and "SortMergeJoin" not in found
+    assert not analysis._small(spark.createDataFrame([(i,) for i in range(20)], "i int"), most=19)
